@@ -85,7 +85,7 @@ def occurrences(docs: DataFrame, parts: DataFrame, sizes: list[int], block: int)
             own = own.unionByName(none)
         spots = F.concat(*([mark] if not b else []), *[places(s) for s in sizes])
         spread = rows.select("doc_id", "row_key", "w", F.size("w").alias("n_words"), spots.alias("spots")).select(
-            "doc_id", "row_key", "n_words", "w", F.inline("spots")
+            "doc_id", "row_key", "n_words", "w", F.inline_outer("spots")
         )
         same = (F.col("hash") == F.col("b_hash")) & (F.col("size") == F.col("b_size"))
         for k in range(max(sizes)):

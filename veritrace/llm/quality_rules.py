@@ -95,26 +95,30 @@ def _distance(shares: list[Column], reference: list[Column]) -> Column:
     return F.sqrt(F.greatest(total / (2 * F.ln(F.lit(2.0))), F.lit(0.0)))
 
 
-def references(docs: DataFrame, stats: DataFrame, common_words: int, min_reference_words: int) -> tuple[DataFrame, DataFrame]:
-    """Class shares by language, and (lang, word, rank, share) of the common words; lang ``*`` pools all."""
-    good = stats.where(~F.col("base_failed"))
+def tokens(docs: DataFrame, distinct: bool) -> DataFrame:
+    """A row per word, or per distinct word, of each document. (explode() alone would split every text twice.)"""
+    words = words_of(text_of())
+    words = F.array_distinct(words) if distinct else words
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), F.coalesce("lang", F.lit("")).alias("lang"), F.explode_outer(words).alias("word"))
+    return rows.where(F.col("word").isNotNull())
+
+
+def class_reference(stats: DataFrame, min_reference_words: int) -> DataFrame:
+    """Class shares by language, over what passes the base rules; lang ``*`` pools all."""
     sums = [F.sum(f"c_{c}").alias(f"s_{c}") for c in CLASSES] + [F.sum("n_words").alias("all_words")]
-    by = good.groupBy("lang").agg(*sums)
+    by = stats.where(~F.col("base_failed")).groupBy("lang").agg(*sums)
     pool = by.agg(*[F.sum(c).alias(c) for c in by.columns[1:]]).select(F.lit("*").alias("lang"), *by.columns[1:])
     by = by.where(F.col("all_words") >= min_reference_words).unionByName(pool)
     total = sum((F.col(f"s_{c}") for c in CLASSES[1:]), F.col("s_lower"))
-    classes = by.select("lang", "all_words", *[F.try_divide(f"s_{c}", total).alias(f"q_{c}") for c in CLASSES])
-    # The words of failed rows stay out: they are matched by id and content.
-    failed = stats.where("base_failed").select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "row_key").distinct()
-    kept = docs.select(
-        F.coalesce("doc_id", F.lit(-1)).alias("id"), row_key("doc_id", "text").alias("row_key"), F.coalesce("lang", F.lit("")).alias("lang"), text_of().alias("text")
-    ).join(failed, ["id", "row_key"], "left_anti")
-    counts = kept.select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    counts = counts.unionByName(counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("*")))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    ranked = counts.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= common_words)
-    words = ranked.join(classes.select("lang", "all_words"), "lang").select("lang", "word", "rank", (F.col("n") / F.col("all_words")).alias("share"))
-    return classes, words
+    return by.select("lang", "all_words", *[F.try_divide(f"s_{c}", total).alias(f"q_{c}") for c in CLASSES])
+
+
+def common_words_of(docs: DataFrame, count: int) -> DataFrame:
+    """(lang, word, rank): the words in most documents of each language, and of all (``*``); ties by word."""
+    n = tokens(docs, True).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    n = n.unionByName(n.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("*")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return n.withColumn("rank", rank).where(F.col("rank") <= count).select("lang", "word", "rank")
 
 
 def judge(
@@ -129,27 +133,26 @@ def judge(
 ) -> DataFrame:
     """Base counts, both distances (null where a guard holds them back) and the verdict of every document."""
     stats = written(measured(docs), "quality-stats")
-    classes, words = references(docs, stats, common_words, min_reference_words)
-    # A row per language; bounded by the number of languages times common_words.
-    classes, words = written(classes, "quality-classes"), written(words, "quality-words")
-    ranks = range(1, common_words + 1)
-    shares = words.groupBy("lang").agg(*[F.max(F.when(F.col("rank") == k, F.col("share"))).alias(f"q_{k}") for k in ranks])
+    # A row per language, and common_words rows per language: small by that bound.
+    classes = written(class_reference(stats, min_reference_words), "quality-classes")
+    words = written(common_words_of(docs, common_words), "quality-words")
     known = classes.select(F.col("lang"), F.lit(True).alias("known"))
-    tokens = (
-        docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), F.coalesce("lang", F.lit("")).alias("lang"), text_of().alias("text"))
-        .join(known, "lang", "left")
-        .select("doc_id", "row_key", F.when(F.col("known"), F.col("lang")).otherwise(F.lit("*")).alias("lang"), F.explode(words_of(F.col("text"))).alias("word"))
-        .join(words.select("lang", "word", "rank"), ["lang", "word"])
-    )
-    hits = tokens.groupBy("doc_id", "row_key").agg(*[F.count(F.when(F.col("rank") == k, 1)).alias(f"w_{k}") for k in ranks], F.count("*").alias("common"))
+    ref = F.when(F.col("known"), F.col("lang")).otherwise(F.lit("*"))
+    ranks = range(1, common_words + 1)
+    common = tokens(docs, False).join(known, "lang", "left").withColumn("lang", ref).join(words, ["lang", "word"])
+    counts = [F.count(F.when(F.col("rank") == k, 1)).alias(f"w_{k}") for k in ranks]
+    hits = written(common.groupBy("doc_id", "row_key").agg(*counts, F.count("*").alias("common")), "quality-hits")
     # A row that is there twice was counted twice: its twins share the counts.
     twins = Window.partitionBy("doc_id", "row_key")
-    rows = stats.join(known, "lang", "left").withColumn("ref", F.when(F.col("known"), F.col("lang")).otherwise(F.lit("*"))).drop("lang", "known")
+    rows = stats.join(known, "lang", "left").withColumn("ref", ref).drop("lang", "known")
     rows = rows.withColumn("twins", F.count("*").over(twins))
     h = hits.withColumnsRenamed({"doc_id": "h_id", "row_key": "h_key"})
     rows = rows.join(h, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("row_key") == F.col("h_key")), "left")
-    refs = classes.join(shares, "lang", "left").withColumnRenamed("lang", "ref").drop("all_words")
-    rows = rows.join(refs, "ref", "left")
+    good = rows.where(~F.col("base_failed"))
+    sums = good.groupBy("ref").agg(F.sum("n_words").alias("total"), *[F.sum(F.coalesce(f"w_{k}", F.lit(0)) / F.col("twins")).alias(f"s_{k}") for k in ranks])
+    pool = sums.agg(*[F.sum(c).alias(c) for c in sums.columns[1:]]).select(F.lit("*").alias("ref"), *sums.columns[1:])
+    shares = sums.where(F.col("ref") != "*").unionByName(pool).select("ref", *[F.try_divide(f"s_{k}", F.col("total")).alias(f"q_{k}") for k in ranks])
+    rows = rows.join(classes.withColumnRenamed("lang", "ref").drop("all_words").join(shares, "ref", "left"), "ref", "left")
     n_chars, n_words = F.greatest("n_chars", F.lit(1)), F.greatest("n_words", F.lit(1)) * F.col("twins")
     by_class = _distance([F.col(f"c_{c}") / n_chars for c in CLASSES], [F.coalesce(f"q_{c}", F.lit(0.0)) for c in CLASSES])
     p = [F.coalesce(f"w_{k}", F.lit(0)) / n_words for k in ranks]
