@@ -56,3 +56,23 @@ def let(value: Column, body) -> Column:
 def row_key(*names: str) -> Column:
     """A hash that, beside the id, tells rows with one id but unlike content apart."""
     return F.xxhash64(*names)
+
+
+def open_shared(uri: str):
+    """A random-access file of the shared folder, opened from a worker."""
+    from urllib.parse import unquote
+
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri.replace("file:///", "/").replace("file:/", "/") if uri.startswith("file:") else uri)
+    return store.open_input_file(unquote(path) if uri.startswith("file:") else path)
+
+
+def create_shared(uri: str):
+    """A new file of the shared folder, written from a worker."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri.removeprefix("file://") if uri.startswith("file:///") else uri)
+    if isinstance(store, fs.LocalFileSystem):
+        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    return store.open_output_stream(path)
