@@ -101,7 +101,7 @@ def mix(docs: DataFrame, *, share: float = 1.5, most: float = 2.0, block: int =
     slots = slots.select("i", at.alias("b"), begin.alias("begin"), taken.alias("take")).where(F.col("take") > 0)
     pieces = rows.where(F.col("size") > 0).withColumn("b", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     overlap = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("begin") + F.col("take")) - F.greatest("start", "begin"))
-    summed = pieces.join(slots, ["i", "b"], "left").groupBy("i", "start", "doc_id", "size", "source_size", "target").agg(F.sum(F.coalesce(overlap, F.lit(0))).alias("taken"))
+    summed = pieces.join(slots, ["i", "b"], "left").groupBy("i", "start", "doc_id", "size", "source_size", "target").agg(F.sum(F.when(F.col("take").isNotNull(), overlap).otherwise(0)).alias("taken"))
     none = rows.where(F.col("size") == 0).select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return summed.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")).unionByName(none)
 
