@@ -151,3 +151,10 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "row_key",
     )
+
+
+def without(docs: DataFrame, contaminated: DataFrame) -> DataFrame:
+    """The documents that are not in `contaminated` (doc_id, row_key)."""
+    bad = contaminated.select(F.col("doc_id").alias("b_id"), F.col("row_key").alias("b_key")).distinct()
+    keyed = docs.withColumn("k_key", row_key("doc_id", "text"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("k_key") == F.col("b_key")), "left_anti").select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, line_dedup, mixing, quality_rules, tokens
+from . import classifier, decontaminate, jaccard_join, line_dedup, mixing, quality_rules, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_report(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
 
@@ -42,6 +46,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -51,9 +61,11 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_token_files": op6_token_files,
     "op8_quality_classifier": op8_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
