@@ -103,7 +103,8 @@ def _sums(rows: DataFrame, body, width: int) -> list[np.ndarray]:
             for k in np.unique(fold):
                 own = fold == k
                 total[int(k)] = total.get(int(k), 0) + body(x[own], y[own])
-        yield pd.DataFrame({"fold": list(total), "sums": [v.tolist() for v in total.values()]})
+        if total:
+            yield pd.DataFrame({"fold": list(total), "sums": [v.tolist() for v in total.values()]})
 
     out = [np.zeros(width) for _ in range(FOLDS)]
     for r in sorted(rows.mapInPandas(part, "fold int, sums array<double>").collect(), key=lambda r: (r["fold"], r["sums"])):
