@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: Letters that compatibility decomposition leaves alone, with their plain spelling (fixed values).
 LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ß": "ss", "ħ": "h", "ı": "i", "ŋ": "n", "ŧ": "t", "ĸ": "k", "ſ": "s"})
@@ -24,7 +25,7 @@ def fold_text(value: str | None) -> str | None:
     return " ".join("".join(kept).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode name folding: decomposed, without marks, case-folded, punctuation as space."""
     for s in names:
@@ -62,7 +63,7 @@ def jaro_winkler_of(a: str, b: str) -> float:
 
 
 def _pairwise(score):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def udf(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([None if a is None or b is None else score(a, b) for a, b in zip(left, right)], dtype=float)
 
