@@ -28,7 +28,7 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Other runs that may be identifiers: no blanks, at least four digits.
-SHAPE = r"(?<![A-Za-z0-9])[A-Za-z0-9+][A-Za-z0-9@._+-]{3,62}[A-Za-z0-9]"
+SHAPE = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z@._+-]*[0-9])[A-Za-z0-9+][A-Za-z0-9@._+-]{3,62}[A-Za-z0-9](?![A-Za-z0-9])"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 FOUND = "array<struct<start:int,end:int,value:string,left:string>>"
 
