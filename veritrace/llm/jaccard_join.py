@@ -134,11 +134,12 @@ def sets_of(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     tokens = let(words_of(text_of()), lambda w: shingles(w, shingle))
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), tokens.alias("tokens"))
     rows = rows.withColumn("id", F.when(F.size("tokens") > 0, F.xxhash64("tokens")))
-    rows = written(rows, "jaccard-docs")
-    sets = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    # Tokens are computed again for the sets: writing them for all documents would double the disk that they take.
+    slim = written(rows.drop("tokens"), "jaccard-docs")
+    sets = slim.where(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     # Of equal sets one row is kept before the shuffle: no key is hot.
     one = rows.where(F.col("id").isNotNull()).select("id", "tokens").dropDuplicates(["id"])
-    return rows.drop("tokens"), written(one.join(sets, "id"), "jaccard-sets")
+    return slim, written(one.join(sets, "id"), "jaccard-sets")
 
 
 def leaves_of(sets: DataFrame, runs: int, branches: float, small: int, depth: int) -> DataFrame:
