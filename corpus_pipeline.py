@@ -34,7 +34,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, and a row per document from them."""
-    return tokens.token_report(docs, tokenizer=tokenizer_path())
+    return tokens.token_report(docs, tokenizer=tokenizer_path(), by_word=True)
 
 
 STAGES = [

@@ -90,13 +90,23 @@ def test_tokens(docs, local):
         ids = encode([t or ""])[0] + [1]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    assert rows_of(tokens.token_report(docs, tokenizer=tokenizer_path())) == sorted(want, key=str)
+    for by_word in (False, True):
+        assert rows_of(tokens.token_report(docs, tokenizer=tokenizer_path(), by_word=by_word)) == sorted(want, key=str)
     files = tokens._started(tokens.write_files(docs, tokenizer=tokenizer_path(), end_id=49407, keyed=False, literal=True))
     for block in (3, 1 << 20):
         got = tokens.separator_scan(files, end_id=49407, block_tokens=block).join(tokens.names_of(files), ["path", "ordinal"])
         assert sorted(map(str, ((r["doc_id"], r["n_tokens"]) for r in got.collect()))) == sorted(str((i, n)) for i, _, n, _ in want)
 
 
+def test_words_give_the_ids_of_the_whole_text():
+    texts = ["", " ", "A's b'LL\t\r\n 12 x\x1cy\x0bz\u3000q\x85w", "e\u0301 \u0301\u0327 \u03a3\u03a3 \u03a3", "<|endoftext|> a<|startoftext|>b <| |>a", " ".join(f"n{i}.,x" for i in range(2500)), "x" * 500 + " " + "\U0001f600\u200d" * 70]
+    for literal in (False, True):
+        encode, _ = tokens.encoder(tokenizer_path(), literal)
+        packed, width = tokens.packer(tokenizer_path(), 1, literal, True)
+        for _ in range(2):
+            assert [np.frombuffer(x, f"<u{width}").tolist() for x in packed(texts)] == [ids + [1] for ids in encode(texts)]
+
+
 def test_decontamination(spark, docs, local):
     items = spark.createDataFrame([(1, "b C d e f g h i j k"), (2, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"), (3, None), (4, "Common, line"), (5, "no such words here")], "item_id long, text string")
     got = {(r["doc_id"], r["n_words"]): (r["n_hit"], r["n_items"]) for r in decontaminate.report(docs, items).collect()}

@@ -39,7 +39,7 @@ def tokenizer_path() -> str:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_report(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+    return tokens.count_report(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), by_word=True)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_report(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+    return tokens.token_report(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path(), by_word=True)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

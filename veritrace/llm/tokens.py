@@ -1,6 +1,6 @@
 """Token-id files (op6) and token counts (op4).
 
-Writer: documents are range-partitioned and sorted by id; each task streams the ids of its documents into one payload file
+Writer: for an index, documents are range-partitioned and sorted by id; each task streams the ids of its documents into one payload file
 (flat little-endian, 16 bits where the vocabulary allows, else 32) and, with ``keyed``, an index beside it: a minimal
 perfect hash from a document's key (its id and number among rows of that id in the file) to slots with a stored
 fingerprint, the offset and the length. A retried task writes under a fresh name; the manifest, committed by Spark, names
@@ -23,6 +23,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from .mph import PerfectHash, mix
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, width int"
 FEW = 256  # texts encoded at once
+MOST_WORDS, LONG_WORD = 1_000_000, 64  # words whose ids a worker holds, and the length of the longest
 
 
 def encoder(path: str, literal: bool = False):
@@ -52,6 +54,68 @@ def encoder(path: str, literal: bool = False):
     return (lambda texts: [x.ids for x in batch(texts, add_special_tokens=False)]), t.get_vocab_size()
 
 
+def split_words(text: str) -> list[str]:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+def word_encoder(path: str, literal: bool, kind: str):
+    """words without blanks -> the bytes of each one's ids. One call for all of them: a special token stands between."""
+    encode, _ = encoder(path, literal)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    special = {x.content: i for i, x in t.get_added_tokens_decoder().items() if x.special}
+    if not special:
+        return lambda words: [np.array(ids, kind).tobytes() for ids in encode(words)]
+    mark, mark_id = next(iter(special.items()))
+    joined, width, few = encoder(path)[0], int(kind[-1]), mark[:2]
+
+    def packed(words: list[str]) -> list[bytes]:
+        odd = {k: w for k, w in enumerate(words) if few in w}  # may hold a special token, or a part of one
+        plain = ["" if few in w else w for w in words] if odd else words
+        out: list[bytes] = []
+        for k in range(0, len(plain), 1000):
+            some = plain[k : k + 1000]
+            ids = np.array(joined([mark.join([*some, ""])])[0], kind)
+            ends = np.flatnonzero(ids == mark_id).tolist()
+            raw = ids.tobytes()
+            out += [raw[i * width : j * width] for i, j in zip([0, *(e + 1 for e in ends)], ends)]
+        for k, ids in zip(odd, encode(list(odd.values()))):
+            out[k] = np.array(ids, kind).tobytes()
+        return out
+
+    return packed
+
+
+@lru_cache(maxsize=1)  # a worker's tasks share the words
+def packer(path: str, end_id: int, literal: bool, by_word: bool):
+    """texts -> the bytes of each one's ids with the end id, and the bytes of an id. by_word: see write_files."""
+    encode, vocabulary = encoder(path, literal)
+    kind = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+    end = np.array([end_id], kind).tobytes()
+    if not by_word:
+        return (lambda texts: [np.array(ids, kind).tobytes() + end for ids in encode(texts)]), int(kind[-1])
+    for probe in (" a", "a b", "a \n\t b\r", "A. (b's"):
+        if encode([probe])[0] != [i for x in encode(split_words(probe)) for i in x]:
+            raise ValueError("this tokenizer does not drop blanks: by_word must be off")
+    words_encoder = word_encoder(path, literal, kind)
+    held: dict[str, bytes] = {}
+
+    def packed(texts: list[str]) -> list[bytes]:
+        words = [split_words(t) for t in texts]
+        if len(held) > MOST_WORDS:
+            held.clear()
+        new = list(set().union(*words).difference(held))
+        held.update(zip(new, words_encoder(new)))
+        out = [b"".join(map(held.__getitem__, w)) + end for w in words]
+        for w in new:  # what stays held is bounded in number and length
+            if len(w) > LONG_WORD:
+                del held[w]
+        return out
+
+    return packed, int(kind[-1])
+
+
 def keys_of(ids: list, nth: np.ndarray) -> np.ndarray:
     """Distinct 64-bit keys of (id, number among equal ids) in one file."""
     raw = np.array([0 if x is None else x for x in ids], np.int64).view(np.uint64)
@@ -84,36 +148,39 @@ def _index(ids: list, lengths: list[int]) -> bytes:
     return out.getvalue()
 
 
-def write_files(docs: DataFrame, *, tokenizer: str, end_id: int, keyed: bool = True, literal: bool = False) -> DataFrame:
-    """Writes the files; the manifest, a row per file. Without `keyed` only the ids are listed beside the payload."""
+def write_files(docs: DataFrame, *, tokenizer: str, end_id: int, keyed: bool = True, literal: bool = False, by_word: bool = False) -> DataFrame:
+    """Writes the files; the manifest, a row per file.
+
+    keyed: documents ascend by id, with an index; else they stay in their partitions (no shuffle), and the ids alone are
+    listed beside the payload. by_word: the tokenizer drops blanks and no token reaches across one, so each distinct word
+    between blanks is encoded once per worker (while held) and its ids are joined; the ids are those of the whole text.
+    """
     folder = new_path(docs.sparkSession, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, vocabulary = encoder(tokenizer, literal)
-        kind = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+        packed, width = packer(tokenizer, end_id, literal, by_word)
         path, out, ids, lengths = f"{folder}/{uuid.uuid4().hex}", None, [], []
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             for k in range(0, len(names), FEW):
-                some = encode(texts.slice(k, FEW).to_pylist())
+                some = packed(texts.slice(k, FEW).to_pylist())
                 if out is None:
                     out = create_shared(f"{path}.bin")
-                for x in some:
-                    x.append(end_id)
-                    out.write(np.array(x, kind).tobytes())
-                    lengths.append(len(x))
+                out.write(b"".join(some))
+                lengths += [len(x) // width for x in some]
             ids += names
         if out is None:
             return
         out.close()
         with create_shared(f"{path}.idx") as f:
             f.write(_index(ids, lengths) if keyed else json.dumps(ids).encode())
-        row = [TaskContext.get().partitionId(), path, len(ids), sum(lengths), int(kind[-1])]
+        row = [TaskContext.get().partitionId(), path, len(ids), sum(lengths), width]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=["shard", "path", "n_docs", "n_tokens", "width"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    if keyed:
+        rows = rows.withColumn("tie", F.xxhash64("text"))
+        rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     return written(rows.select("doc_id", "text").mapInArrow(write, MANIFEST), "tokens-manifest")
 
 
@@ -196,11 +263,11 @@ def names_of(files: DataFrame) -> DataFrame:
     return files.select("path").mapInArrow(read, "path string, ordinal long, doc_id long")
 
 
-def token_report(docs: DataFrame, *, tokenizer: str, end_id: int = 1) -> DataFrame:
-    return read_files(write_files(docs, tokenizer=tokenizer, end_id=end_id))
+def token_report(docs: DataFrame, *, tokenizer: str, end_id: int = 1, by_word: bool = False) -> DataFrame:
+    return read_files(write_files(docs, tokenizer=tokenizer, end_id=end_id, by_word=by_word))
 
 
-def count_report(docs: DataFrame, *, tokenizer: str, end_id: int = 49407) -> DataFrame:
+def count_report(docs: DataFrame, *, tokenizer: str, end_id: int = 49407, by_word: bool = False) -> DataFrame:
     """Token counts (end id included) of every document, out of flat files alone; the ids only name the ordinals."""
-    files = _started(write_files(docs, tokenizer=tokenizer, end_id=end_id, keyed=False, literal=True))
-    return separator_scan(files, end_id=end_id).join(names_of(files), ["path", "ordinal"]).select("doc_id", "n_tokens")
+    files = _started(write_files(docs, tokenizer=tokenizer, end_id=end_id, keyed=False, literal=True, by_word=by_word))
+    return separator_scan(files, end_id=end_id).join(names_of(files).hint("merge"), ["path", "ordinal"]).select("doc_id", "n_tokens")
