@@ -36,7 +36,7 @@ from .mph import PerfectHash, mix
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, width int"
 FEW = 256  # texts encoded at once
-MOST_WORDS, LONG_WORD = 1_000_000, 64  # words whose ids a worker holds, and the length of the longest
+MOST_WORDS, LONG_WORD = 1_500_000, 64  # words whose ids a worker holds, and the length of the longest
 
 
 def encoder(path: str, literal: bool = False):
