@@ -83,6 +83,17 @@ def test_jaccard_join(docs, local):
     assert jaccard_join.one_each(docs).count() == len(local) - 4  # the copies and near copies of one text
 
 
+def test_jaccard_join_keeps_the_links_of_large_groups(spark):
+    """Each group has one core of its own and more than 400 members, so that its links are all pairs: no brute force needed."""
+    groups, size = 40, 410
+    core = lambda g: " ".join(f"g{g}c{k}" for k in range(60))
+    rows = [(g * size + i, f"{core(g)} t{g}x{i} u{i}") for g in range(groups) for i in range(size)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words(t) for _, t in rows[:size])]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a in sets[:5] for b in sets)
+    got = Counter((r["class_id"], r["n_links"]) for r in jaccard_join.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(g * size, size - 1): size for g in range(groups)}
+
+
 def test_tokens(docs, local):
     encode, _ = tokens.encoder(tokenizer_path())
     at, want = 0, []

@@ -7,7 +7,8 @@
    one path share a bucket. A bucket above ``small`` splits again by tokens off its path, up to ``depth`` levels.
 3. Survival of a pair is that of a branching process with mean branches * t > 1. `runs_for` repeats runs until the chance
    that a pair at the threshold shares no leaf is below 1 - ``recall``.
-4. Leaves with the same members count once. Each leaf is compared in memory; one that is still above ``small`` at the last
+4. Buckets with the same members are one bucket. A large one of k paths splits again in k runs (at most one more than
+   ``runs``, enough by themselves), so that its paths keep their independent chances. Each leaf is compared in memory; one that is still above ``small`` at the last
    level (near copies share all tokens) is dealt in pairs of blocks, so no task holds it whole and no pair is left out.
 5. A pair counts in the least of the leaves that both sets are in: link numbers add up without listing pairs. A leaf gives
    each set its least linked set; min-label propagation over those edges gives the classes.
@@ -45,8 +46,8 @@ def runs_for(recall: float, threshold: float, branches: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 
-def children(rows: DataFrame, run: list[int], branches: float) -> DataFrame:
-    """rows: path, id, tokens -> path, id of the next level."""
+def children(rows: DataFrame, branches: float) -> DataFrame:
+    """rows: path, id, tokens, runs -> path, id of the next level."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -55,14 +56,15 @@ def children(rows: DataFrame, run: list[int], branches: float) -> DataFrame:
                 tokens, path, ids = batch.column(2), batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
                 sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 flat, row = tokens.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(ids)), sizes)
-                limit = np.minimum(branches / np.maximum(sizes, 1), 1.0)[row] * 2.0**64
-                for r in run:
+                runs = batch.column(3).to_numpy()
+                limit = np.where(np.arange(runs.max())[:, None] < runs, np.minimum(branches / np.maximum(sizes, 1), 1.0) * 2.0**64, 0.0)
+                for r in range(len(limit)):
                     h = mix(flat ^ mix(path, 7 + r)[row], 11 + r)
-                    hit = h.astype(np.float64) < limit
+                    hit = h.astype(np.float64) < limit[r][row]
                     out = mix(h[hit], 13).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(ids[row[hit]])], names=["path", "id"])
 
-    return rows.select("path", "id", "tokens").mapInArrow(walk, "path long, id long")
+    return rows.select("path", "id", "tokens", "runs").mapInArrow(walk, "path long, id long")
 
 
 def overlaps(x: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -144,19 +146,19 @@ def sets_of(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
 
 def leaves_of(sets: DataFrame, runs: int, branches: float, small: int, depth: int) -> DataFrame:
     """(path, id, n): members of each leaf of two sets or more."""
-    rows, leaves = sets.select(F.lit(0).cast("long").alias("path"), "id", "tokens"), None
+    rows, leaves = sets.select(F.lit(0).cast("long").alias("path"), "id", "tokens", F.lit(runs).alias("runs")), None
     for level in range(depth):
-        walked = written(children(rows, list(range(runs)) if not level else [0], branches).distinct(), f"jaccard-level{level}")
+        walked = written(children(rows, branches).distinct(), f"jaccard-level{level}")
         counts = walked.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members")).where(F.col("n") > 1)
-        counts = written(counts.groupBy("n", "members").agg(F.min("path").alias("path")).drop("members"), f"jaccard-counts{level}")
+        counts = written(counts.groupBy("n", "members").agg(F.min("path").alias("path"), F.least(F.count("*"), F.lit(runs + 1)).cast("int").alias("runs")).drop("members"), f"jaccard-counts{level}")
         last = level == depth - 1
         ready = counts if last else counts.where(F.col("n") <= small)
-        found = walked.join(ready, "path").select("path", "id", "n")
+        found = walked.join(ready.select("path", "n"), "path").select("path", "id", "n")
         leaves = found if leaves is None else leaves.unionByName(found)
         large = counts.where(F.col("n") > small)
         if last or large.isEmpty():
             break
-        rows = walked.join(large.select("path"), "path").join(sets.select("id", "tokens"), "id")
+        rows = walked.join(large.select("path", "runs"), "path").join(sets.select("id", "tokens"), "id")
     return written(leaves, "jaccard-leaves")
 
 
