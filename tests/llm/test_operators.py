@@ -162,6 +162,14 @@ def test_pii_finds_what_stands_after_a_learnt_pattern(spark):
     assert got[20] == "ip:16:27" and got[21] == ""
 
 
+def test_pii_learns_from_one_word_and_from_the_right(spark):
+    names = "amber birch cedar dune ember fjord grove heath".split()
+    rows = [(i, f"{n} email {n}@mail.example {n}") for i, n in enumerate(names)] + [(20 + i, f"{n}\n10.0.0.{i} pinged {n}") for i, n in enumerate(names)]
+    rows += [(50, "iris email user2291.x now"), (51, "node-2291.y pinged us"), (52, "iris build 2291.4 now")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[50], got[51], got[52]) == ("email:11:21", "ip:0:11", "")
+
+
 def test_html(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><nav><a href=x>Home</a></nav><article><h1>T{i}</h1><p>a &amp;\n b{i}<br>c<p>d<div class='comments'>bad</div></article><footer>f</footer></body>") for i in range(3)]
     got = {r["page_id"]: r["text"] for r in html_text.report(spark.createDataFrame([*pages, (9, None, None)], "page_id long, url string, html string")).collect()}

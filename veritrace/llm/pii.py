@@ -2,12 +2,12 @@
 
 1. Base spans by pattern and check (address parts, card digits and Luhn, phone digits). Positions come from the lengths of
    what splitting at a pattern leaves between its matches, so a text is read once per pattern.
-2. Seeds: base spans induce lexical patterns, the one or two words that stand before them. A pattern needs ``min_seeds``
-   different seed values of its kind.
-3. Pattern-instance graph: instances are base spans and other identifier-shaped runs after a pattern. For ``rounds`` rounds
+2. Seeds: base spans induce lexical patterns (cues): the word before them, the two words before them on their line and the
+   word after them, each a pattern of its own. A pattern needs ``min_seeds`` different seed values of its kind.
+3. Pattern-instance graph: instances are base spans and other identifier-shaped runs beside a pattern. For ``rounds`` rounds
    a pattern's confidence is the mean score of its instances (distinct values, one pseudo-count against), and a value's
    score is 1 minus the product of (1 - confidence) over its patterns; seeds keep 1 for their kind, 0 for others.
-4. Runs after a pattern of confidence ``accept`` or more are new spans of its kind, unless they overlap a base span.
+4. Runs beside a pattern of confidence ``accept`` or more are new spans of its kind, unless they overlap a base span.
 
 Defined cases: null text is empty; each row is searched on its own, repeated ids included; ties between kinds go to the
 first listed; an empty table gives no rows; other columns are ignored.
@@ -30,7 +30,7 @@ KINDS = {
 #: Other runs that may be identifiers: no blanks, at least four digits.
 SHAPE = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z@._+-]*[0-9])[A-Za-z0-9+][A-Za-z0-9@._+-]{3,62}[A-Za-z0-9](?![A-Za-z0-9])"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-FOUND = "array<struct<start:int,end:int,value:string,left:string>>"
+FOUND = "array<struct<start:int,end:int,value:string,cues:array<string>>>"
 
 
 def _digits(value: Column) -> Column:
@@ -56,17 +56,24 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def cues_of(before: Column, after: Column) -> Column:
+    """The patterns around a run: "1 word", "2 word word" and "> word"; a sign after the word is part of it."""
+    tail = F.lower(before.substr(F.greatest(F.length(before) - 60, F.lit(0)) + 1, F.lit(61)))  # only the tail is context
+    head = F.lower(after.substr(F.lit(1), F.lit(40)))
+    words = {"1 ": (tail, r"(\p{L}+\s*[:=]?)\s*$"), "2 ": (tail, r"(\p{L}+[:=,]?[\x20\t]+\p{L}+\s*[:=]?)\s*$"), "> ": (head, r"^\s+(\p{L}+)")}
+    found = [let(F.regexp_extract(t, p, 1), lambda x, k=k: F.when(x != "", F.concat(F.lit(k), F.regexp_replace(F.regexp_replace(F.trim(x), r"\s+([:=])", "$1"), r"\s+", " ")))) for k, (t, p) in words.items()]
+    return F.array_compact(F.array(*found))
+
+
 def spans_of(text: Column, pattern: str) -> Column:
-    """Every match with its place and what stands before it, in order."""
+    """Every match with its place and the patterns around it, in order."""
     matches, between = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.split(text, pattern, -1)
 
     def placed(m: Column, b: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             start = acc["end"] + F.length(F.get(b, i))
             value = F.get(m, i)
-            # Only the tail of what stands before is context.
-            left = F.lower(F.regexp_extract(F.get(b, i).substr(F.greatest(F.length(F.get(b, i)) - 60, F.lit(0)) + 1, F.lit(61)), r"(\p{L}+[:=]?(?:\s+[\p{L}=:]+)?)\s*[:=]?\s*$", 1))
-            one = F.struct(start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"), left.alias("left"))
+            one = F.struct(start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value"), cues_of(F.get(b, i), F.get(b, i + 1)).alias("cues"))
             return F.struct(one["end"].alias("end"), F.concat(acc["all"], F.array(one)).cast(FOUND).alias("all"))
 
         zero = F.struct(F.lit(0).alias("end"), F.array().cast(FOUND).alias("all"))
@@ -79,7 +86,7 @@ def spans_of(text: Column, pattern: str) -> Column:
 def kept_spans(rank: int, kind: str) -> Column:
     """The matches of a kind (in the column of its name) that pass its check."""
     placed = lambda x: F.struct(
-        x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"), x["left"].alias("left")
+        x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"), x["cues"].alias("cues")
     )
     return F.transform(F.filter(kind, lambda x: passes(kind, x["value"])), placed)
 
@@ -91,7 +98,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     needs = {"email": F.col("text").contains("@"), "phone": F.col("text").contains("+")}
     none = F.array().cast(FOUND)
     raw = rows.select("doc_id", "row_key", *[F.when(needs.get(k, F.col("text").rlike("[0-9]")), spans_of(F.col("text"), p)).otherwise(none).alias(k) for k, p in KINDS.items()],
-                      F.when(F.col("text").rlike("[0-9]"), F.filter(spans_of(F.col("text"), SHAPE), lambda x: (F.length(_digits(x["value"])) >= 4) & (x["left"] != ""))).otherwise(none).alias("other"))
+                      F.when(F.col("text").rlike("[0-9]"), F.filter(spans_of(F.col("text"), SHAPE), lambda x: (F.length(_digits(x["value"])) >= 4) & (F.size(x["cues"]) > 0))).otherwise(none).alias("other"))
     base = [kept_spans(i, k) for i, k in enumerate(KINDS)]
     raw = raw.select("doc_id", "row_key", F.array_sort(F.concat(*base)).alias("base"), "other")
     free = F.filter("other", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
@@ -99,20 +106,20 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def confident(found: DataFrame, *, min_seeds: int, rounds: int, accept: float) -> DataFrame:
-    """(left, kind): patterns of confidence `accept` or more."""
-    seeds = found.select(F.explode("base").alias("x")).select("x.left", "x.kind", F.xxhash64("x.value").alias("value")).where(F.col("left") != "").distinct()
-    induced = seeds.groupBy("left", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("left", "kind")
+    """(cue, kind, confidence): patterns of confidence `accept` or more."""
+    seeds = found.select(F.explode("base").alias("x")).select(F.explode("x.cues").alias("cue"), "x.kind", F.xxhash64("x.value").alias("value")).distinct()
+    induced = seeds.groupBy("cue", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("cue", "kind")
     induced = written(induced, "pii-patterns")
-    runs = found.select(F.explode("other").alias("x")).select("x.left", F.xxhash64("x.value").alias("value")).distinct()
+    runs = found.select(F.explode("other").alias("x")).select(F.explode("x.cues").alias("cue"), F.xxhash64("x.value").alias("value")).distinct()
     # Edges of the graph: (pattern, kind, value, seed: 1 for its kind, 0 for another kind's, null for a run).
-    own = seeds.withColumnRenamed("kind", "is").join(induced, "left").select("left", "kind", "value", (F.col("is") == F.col("kind")).cast("double").alias("seed"))
-    edges = own.unionByName(runs.join(induced, "left").select("left", "kind", "value", F.lit(None).cast("double").alias("seed")))
+    own = seeds.withColumnRenamed("kind", "is").join(induced, "cue").select("cue", "kind", "value", (F.col("is") == F.col("kind")).cast("double").alias("seed"))
+    edges = own.unionByName(runs.join(induced, "cue").select("cue", "kind", "value", F.lit(None).cast("double").alias("seed")))
     edges = written(edges, "pii-edges").withColumn("score", F.coalesce("seed", F.lit(0.5)))
     for _ in range(rounds):
-        patterns = edges.groupBy("left", "kind").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"))
-        values = edges.join(patterns, ["left", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
+        patterns = edges.groupBy("cue", "kind").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"))
+        values = edges.join(patterns, ["cue", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
         edges = written(edges.drop("score").join(values, ["kind", "value"]).withColumn("score", F.coalesce("seed", "score")), "pii-edges")
-    return edges.groupBy("left", "kind").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence")).where(F.col("confidence") >= accept)
+    return edges.groupBy("cue", "kind").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence")).where(F.col("confidence") >= accept)
 
 
 def find(docs: DataFrame, *, min_seeds: int = 5, rounds: int = 3, accept: float = 0.7) -> DataFrame:
@@ -120,9 +127,11 @@ def find(docs: DataFrame, *, min_seeds: int = 5, rounds: int = 3, accept: float
     found = written(base_spans(docs), "pii-base")
     good = confident(found, min_seeds=min_seeds, rounds=rounds, accept=accept)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
-    best = written(good.groupBy("left").agg(F.min(F.struct(-F.col("confidence"), rank.alias("rank"), "kind")).alias("b")), "pii-good")
-    runs = found.where(F.size("other") > 0).select("doc_id", "row_key", F.explode(F.array_distinct("other")).alias("x"))
-    added = runs.join(best, F.col("x.left") == F.col("left")).select("doc_id", "row_key", F.struct("x.start", "b.rank", "x.end", "b.kind").alias("s"))
+    best = written(good.groupBy("cue").agg(F.min(F.struct(-F.col("confidence"), rank.alias("rank"), "kind")).alias("b")), "pii-good")
+    runs = found.where(F.size("other") > 0).select("doc_id", "row_key", F.explode(F.array_distinct("other")).alias("x")).select("doc_id", "row_key", "x", F.explode("x.cues").alias("cue"))
+    # Of a run's patterns the most confident names its kind.
+    added = runs.join(best, "cue").groupBy("doc_id", "row_key", "x").agg(F.min("b").alias("b"))
+    added = added.select("doc_id", "row_key", F.struct("x.start", "b.rank", "x.end", "b.kind").alias("s"))
     added = added.groupBy(F.col("doc_id").alias("a_id"), F.col("row_key").alias("a_key")).agg(F.array_sort(F.collect_set("s")).alias("added"))
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
     rows = found.select("doc_id", "row_key", base.alias("base"))
