@@ -170,6 +170,17 @@ def test_pii_learns_from_one_word_and_from_the_right(spark):
     assert (got[50], got[51], got[52]) == ("email:11:21", "ip:0:11", "")
 
 
+def test_pii_takes_runs_in_the_alphabet_of_a_kind(spark):
+    names = "amber birch cedar dune ember fjord grove heath".split()
+    rows = [(i, f"{n} mailto {n}@mail.example {n}") for i, n in enumerate(names)] + [(20 + i, f"{n} host 10.0.0.{i} {n}") for i, n in enumerate(names)]
+    rows += [(40 + i, f"{n} dial +1 743 555 38{i}4 {n}") for i, n in enumerate(names)]
+    cases = [("mailto jane.roe@localhost x", "email:7:25"), ("mailto jane(at)x.org x", "email:7:20"), ("dial (743) 555-3824 x", "phone:5:19"), ("dial 020 7946 0958.", "phone:5:18"),
+             ("host fe80::1 x", "ip:5:12"), ("host 1.2.3 x", "ip:5:10"), ("mailto nobody", ""), ("host 12:30:45 x", ""), ("calls 020 7946 0958 x", "")]
+    rows += [(100 + i, t) for i, (t, _) in enumerate(cases)]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100 + i] for i in range(len(cases))] == [w for _, w in cases]
+
+
 def test_html(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><nav><a href=x>Home</a></nav><article><h1>T{i}</h1><p>a &amp;\n b{i}<br>c<p>d<div class='comments'>bad</div></article><footer>f</footer></body>") for i in range(3)]
     got = {r["page_id"]: r["text"] for r in html_text.report(spark.createDataFrame([*pages, (9, None, None)], "page_id long, url string, html string")).collect()}

@@ -4,7 +4,8 @@
    what splitting at a pattern leaves between its matches, so a text is read once per pattern.
 2. Seeds: base spans induce lexical patterns (cues): the word before them, the two words before them on their line and the
    word after them, each a pattern of its own. A pattern needs ``min_seeds`` different seed values of its kind.
-3. Pattern-instance graph: instances are base spans and other identifier-shaped runs beside a pattern. For ``rounds`` rounds
+3. Pattern-instance graph: instances are base spans and other runs beside a pattern, in its kind's alphabet or of four digits
+   and more. For ``rounds`` rounds
    a pattern's confidence is the mean score of its instances (distinct values, one pseudo-count against), and a value's
    score is 1 minus the product of (1 - confidence) over its patterns; seeds keep 1 for their kind, 0 for others.
 4. Runs beside a pattern of confidence ``accept`` or more are new spans of its kind, unless they overlap a base span.
@@ -27,8 +28,15 @@ KINDS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Other runs that may be identifiers: no blanks, at least four digits.
-SHAPE = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z@._+-]*[0-9])[A-Za-z0-9+][A-Za-z0-9@._+-]{3,62}[A-Za-z0-9](?![A-Za-z0-9])"
+#: Other runs that may be identifiers. "": of any kind, no blanks, at least four digits. Else in the alphabet of a kind, for
+#: its patterns alone: e-mails without a dot or with a bracketed "at", hexadecimal and other dotted addresses, groups of digits.
+SHAPES = {
+    "": r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z@._+-]*[0-9])[A-Za-z0-9+][A-Za-z0-9@._+-]{3,62}[A-Za-z0-9](?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|[(\[](?i:at)[)\]])\x20?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+",
+    "ip": r"(?<![A-Za-z0-9.:])(?:[0-9]++(?:\.[0-9]++){2,}+|[0-9A-Fa-f]{0,4}+(?::[0-9A-Fa-f]{0,4}+){2,7}+)(?![A-Za-z0-9:])",
+    "card": r"(?<![A-Za-z0-9.])[0-9]++(?:[\x20-][0-9]++)*+(?![A-Za-z0-9])",
+    "phone": r"(?<![A-Za-z0-9+(.@-])\(?\+?[0-9]++(?:(?:\)[\x20-]?|\x20?\(|[\x20./-])[0-9]++)*+(?![A-Za-z0-9])",
+}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 FOUND = "array<struct<start:int,end:int,value:string,cues:array<string>>>"
 
@@ -65,6 +73,14 @@ def cues_of(before: Column, after: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def shaped(shape: str, value: Column) -> Column:
+    """What a run of the shape must have besides its pattern."""
+    n = F.length(_digits(value))
+    if shape == "ip":  # hexadecimal ones have eight parts or leave some out
+        return ~value.contains(":") | value.contains("::") | (F.length(F.regexp_replace(value, "[^:]", "")) == 7)
+    return {"": n >= 4, "card": n.between(12, 19), "phone": n.between(7, 15)}.get(shape, F.lit(True))
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """Every match with its place and the patterns around it, in order."""
     matches, between = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.split(text, pattern, -1)
@@ -91,16 +107,24 @@ def kept_spans(rank: int, kind: str) -> Column:
     return F.transform(F.filter(kind, lambda x: passes(kind, x["value"])), placed)
 
 
+def runs_of(shape: str) -> Column:
+    """The matches of a shape (in the column other_ of its name) that have what it must have, and a pattern beside them."""
+    may = F.filter(f"other_{shape}", lambda x: shaped(shape, x["value"]) & (F.size(x["cues"]) > 0))
+    return F.transform(may, lambda x: x.withField("shape", F.lit(shape)))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, base, other): base spans with kind and rank; other identifier-shaped runs off them."""
+    """(doc_id, row_key, base, other): base spans with kind and rank; other identifier-shaped runs off them, with shape."""
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), text_of().alias("text"))
     #: A text without what a pattern needs is not searched.
     needs = {"email": F.col("text").contains("@"), "phone": F.col("text").contains("+")}
-    none = F.array().cast(FOUND)
-    raw = rows.select("doc_id", "row_key", *[F.when(needs.get(k, F.col("text").rlike("[0-9]")), spans_of(F.col("text"), p)).otherwise(none).alias(k) for k, p in KINDS.items()],
-                      F.when(F.col("text").rlike("[0-9]"), F.filter(spans_of(F.col("text"), SHAPE), lambda x: (F.length(_digits(x["value"])) >= 4) & (F.size(x["cues"]) > 0))).otherwise(none).alias("other"))
+    none, digit = F.array().cast(FOUND), F.col("text").rlike("[0-9]")
+    may = {"email": F.col("text").rlike(r"@|[(\[](?i:at)[)\]]"), "ip": digit | F.col("text").contains("::")}
+    raw = rows.select("doc_id", "row_key", *[F.when(needs.get(k, digit), spans_of(F.col("text"), p)).otherwise(none).alias(k) for k, p in KINDS.items()],
+                      *[F.when(may.get(k, digit), spans_of(F.col("text"), p)).otherwise(none).alias(f"other_{k}") for k, p in SHAPES.items()])
+    other = [runs_of(k) for k in SHAPES]
     base = [kept_spans(i, k) for i, k in enumerate(KINDS)]
-    raw = raw.select("doc_id", "row_key", F.array_sort(F.concat(*base)).alias("base"), "other")
+    raw = raw.select("doc_id", "row_key", F.array_sort(F.concat(*base)).alias("base"), F.concat(*other).alias("other"))
     free = F.filter("other", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
     return raw.select("doc_id", "row_key", "base", free.alias("other"))
 
@@ -110,10 +134,11 @@ def confident(found: DataFrame, *, min_seeds: int, rounds: int, accept: float) -
     seeds = found.select(F.explode("base").alias("x")).select(F.explode("x.cues").alias("cue"), "x.kind", F.xxhash64("x.value").alias("value")).distinct()
     induced = seeds.groupBy("cue", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).select("cue", "kind")
     induced = written(induced, "pii-patterns")
-    runs = found.select(F.explode("other").alias("x")).select(F.explode("x.cues").alias("cue"), F.xxhash64("x.value").alias("value")).distinct()
+    runs = found.select(F.explode("other").alias("x")).select(F.explode("x.cues").alias("cue"), "x.shape", F.xxhash64("x.value").alias("value")).distinct()
     # Edges of the graph: (pattern, kind, value, seed: 1 for its kind, 0 for another kind's, null for a run).
     own = seeds.withColumnRenamed("kind", "is").join(induced, "cue").select("cue", "kind", "value", (F.col("is") == F.col("kind")).cast("double").alias("seed"))
-    edges = own.unionByName(runs.join(induced, "cue").select("cue", "kind", "value", F.lit(None).cast("double").alias("seed")))
+    runs = runs.join(induced, "cue").where(F.col("shape").isin("", F.col("kind")))
+    edges = own.unionByName(runs.select("cue", "kind", "value", F.lit(None).cast("double").alias("seed")).distinct())
     edges = written(edges, "pii-edges").withColumn("score", F.coalesce("seed", F.lit(0.5)))
     for _ in range(rounds):
         patterns = edges.groupBy("cue", "kind").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"))
@@ -127,12 +152,15 @@ def find(docs: DataFrame, *, min_seeds: int = 5, rounds: int = 3, accept: float
     found = written(base_spans(docs), "pii-base")
     good = confident(found, min_seeds=min_seeds, rounds=rounds, accept=accept)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
-    best = written(good.groupBy("cue").agg(F.min(F.struct(-F.col("confidence"), rank.alias("rank"), "kind")).alias("b")), "pii-good")
-    runs = found.where(F.size("other") > 0).select("doc_id", "row_key", F.explode(F.array_distinct("other")).alias("x")).select("doc_id", "row_key", "x", F.explode("x.cues").alias("cue"))
+    good = written(good.select("cue", "kind", F.struct(-F.col("confidence"), rank.alias("rank"), "kind").alias("b")), "pii-good")
+    runs = found.where(F.size("other") > 0).select("doc_id", "row_key", F.explode(F.array_distinct("other")).alias("x")).select("doc_id", "row_key", "x.start", "x.end", "x.shape", F.explode("x.cues").alias("cue"))
     # Of a run's patterns the most confident names its kind.
-    added = runs.join(best, "cue").groupBy("doc_id", "row_key", "x").agg(F.min("b").alias("b"))
-    added = added.select("doc_id", "row_key", F.struct("x.start", "b.rank", "x.end", "b.kind").alias("s"))
+    added = runs.join(good, "cue").where(F.col("shape").isin("", F.col("kind"))).groupBy("doc_id", "row_key", "start", "end").agg(F.min("b").alias("b"))
+    added = added.select("doc_id", "row_key", F.struct("start", "b.rank", "end", "b.kind").alias("s"))
     added = added.groupBy(F.col("doc_id").alias("a_id"), F.col("row_key").alias("a_key")).agg(F.array_sort(F.collect_set("s")).alias("added"))
+    # A run inside another is part of it.
+    inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    added = added.withColumn("added", F.filter("added", lambda x: ~F.exists("added", lambda y: inside(x, y))))
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
     rows = found.select("doc_id", "row_key", base.alias("base"))
     rows = rows.join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("row_key") == F.col("a_key")), "left")
