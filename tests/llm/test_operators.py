@@ -187,6 +187,16 @@ def test_html(spark):
     assert got == {0: "T0\na & b0 c\nd", 1: "T1\na & b1 c\nd", 2: "T2\na & b2 c\nd", 9: ""}
 
 
+def test_html_keeps_articles_in_layout_wrappers_and_after_an_open_head():
+    kept = lambda html: [t for _, t, _ in html_text.Blocks().done(html).blocks]
+    for name in ("layout with-sidebar", "no-sidebar", "header-fixed", "has-banner"):
+        assert kept(f"<body><div class='{name}'><article><p>a<p>b</article></div>") == ["a", "b"]
+    for start in ("<html><head><title>t</title><body>", "<html><head><meta x><title>t</title>", "<head><script>s</script></head><body>"):
+        assert kept(f"{start}<article><p>a</article>") == ["a"]
+    assert kept("<body><article><p>a</article><div class='comments'><article>c</article></div><div class='site-banner'>x</div>") == ["a"]
+    assert kept("<body><div class='comment-list'><article>c</article></div><p>a") == ["a"]
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels, items = (spark.createDataFrame([], s) for s in ("doc_id long, quality int, toxic int", "item_id long, text string"))

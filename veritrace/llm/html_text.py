@@ -29,21 +29,35 @@ from .common import written
 SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "select", "textarea", "button"}
 OTHER = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 OTHER_WORDS = {"ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "footer", "sidebar", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "share", "social", "related", "comment", "comments", "reply", "replies", "widget"}
+#: A compound class name ("with-sidebar") with one of the first words marks no container that holds the page's first article
+#: or main; nor does any other compound name, but for those of the second words.
+LAYOUT_WORDS, ASIDE_WORDS = {"with", "without", "no", "has"}, {"comment", "comments", "reply", "replies", "related"}
+#: What may stand in head; anything else ends it.
+HEAD = {"head", "base", "link", "meta", "title", "style", "script", "noscript", "template"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 CONTAINERS = {"body", "article", "main", "section", "div", "td", "table", *OTHER}
 PARSED = "page_id long, url string, host string, blocks array<struct<path:string,text:string,prose:long>>, paths array<struct<path:string,n:long,prose:long>>"
 
 
+def layout(named: dict) -> bool:
+    """Whether the names with words of other roles may be of a layout, not of the part itself."""
+    names = f"{named.get('class') or ''} {named.get('id') or ''} {named.get('role') or ''}".lower().split()
+    parts = [x.replace("-", " ").replace("_", " ").split() for x in names]
+    marked = [x for x in parts if not OTHER_WORDS.isdisjoint(x)]
+    return all(len(x) > 1 and (ASIDE_WORDS.isdisjoint(x) or not LAYOUT_WORDS.isdisjoint(x)) for x in marked)
+
+
 class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool, bool]] = []  # element, its name in paths, silent, other role
+        self.open: list[tuple[str, str, bool, bool | str]] = []  # element, its name in paths, silent, other role
         self.text: list[str] = []
         self.linked = 0
         self.blocks: list[tuple[str, str, int]] = []
         self.seen: Counter = Counter()
         self.at = ("", False, False)
+        self.found = False  # an article or main
 
     def _cut(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -52,9 +66,17 @@ class Blocks(HTMLParser):
         self.text, self.linked = [], 0
 
     def _moved(self) -> None:
-        self.at = "/".join(n for _, n, _, _ in self.open if n), any(s for _, _, s, _ in self.open), any(o for _, _, _, o in self.open)
+        self.at = "/".join(n for _, n, _, _ in self.open if n), any(s for _, _, s, _ in self.open), any(bool(o) for _, _, _, o in self.open)
+
+    def _holds_main(self) -> None:
+        """The open containers of layout names hold the content: they are of no other role."""
+        self.found = True
+        self.open = [(t, n, s, o and o != "layout") for t, n, s, o in self.open]
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or self.open and self.open[-1][0] == "head" and tag not in HEAD:
+            if any(t == "head" for t, *_ in self.open):
+                self.handle_endtag("head")
         if tag in VOID or tag in INLINE:
             if tag in ("br", "hr"):
                 self.text.append(" ")
@@ -69,6 +91,10 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag, implied=True)
         # Names of the main content are not taken for another role.
         other = tag in OTHER or (tag not in ("body", "article", "main", "html") and not OTHER_WORDS.isdisjoint(words))
+        if tag in ("article", "main") and not self.found and OTHER_WORDS.isdisjoint(words):
+            self._holds_main()
+        if other and tag not in OTHER and layout(named):
+            other = "layout"
         self.open.append((tag, name, tag in SILENT, other))
         self._moved()
         if name:
@@ -88,6 +114,8 @@ class Blocks(HTMLParser):
                 return  # a container is not closed from inside
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.handle_endtag("head")
         if not self.at[1]:
             self.text.append(data)
             if self.open and self.open[-1][0] == "a":
