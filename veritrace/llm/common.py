@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -13,22 +16,32 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: The same six characters, for translate().
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
+#: Folders that this driver has made, and its temporary folder on a local master.
+MADE: list[str] = []
+_LOCAL: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; on a local master a temporary one will do."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='veritrace-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="veritrace-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return f"file://{_LOCAL[0]}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/veritrace/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/veritrace/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +51,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders made by new_path(), once nothing will read them again."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in MADE:
+            MADE.remove(path)
+
+
+def forget(spark: SparkSession, df: DataFrame) -> None:
+    """Deletes the tables of written() that df reads, when everything made from them is written elsewhere."""
+    files = " ".join(df.inputFiles())
+    removed(spark, [p for p in list(MADE) if p.rsplit("/", 1)[1] in files])
+
+
 def text_of(name: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))
@@ -76,3 +104,12 @@ def create_shared(uri: str):
     if isinstance(store, fs.LocalFileSystem):
         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     return store.open_output_stream(path)
+
+
+def list_shared(uri: str) -> list[str]:
+    """The files right below a folder of the shared folder, as URIs for open_shared()."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    head = uri[: len(uri) - len(path)]
+    return sorted(head + x.path for x in store.get_file_info(fs.FileSelector(path)) if x.is_file)
