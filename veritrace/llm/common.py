@@ -113,3 +113,16 @@ def list_shared(uri: str) -> list[str]:
     store, path = fs.FileSystem.from_uri(uri)
     head = uri[: len(uri) - len(path)]
     return sorted(head + x.path for x in store.get_file_info(fs.FileSelector(path)) if x.is_file)
+
+
+def named_apart(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df has not (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        new = f"_{name}"
+        while new in taken:
+            new = f"_{new}"
+        out.append(new)
+        taken.add(new)
+    return out
