@@ -8,8 +8,8 @@
    bucket. Tokens on the path itself are drawn anew like any other (their hash with the longer path is independent).
 3. Survival of a pair is that of a branching process with mean branches * t > 1. `runs_for` repeats runs until the chance
    that a pair at the threshold shares no leaf is below 1 - ``recall``. Buckets with the same members are one bucket.
-4. A bucket of at most ``small`` sets is a leaf. In a larger one a pivot (the set of least hash) tells by the histograms
-   whether most members may be its near copies. If so, splitting would only repeat the bucket, so it is a dense leaf; dense
+4. A bucket of at most ``small`` sets is a leaf. In a larger one a few pivots (sets of least hash) tell by the first
+   paths whether half of the members or more have half of their tokens in common with one. If so, splitting would only repeat the bucket, so it is a dense leaf; dense
    leaves whose members mostly share an earlier one become one leaf with it. Other large buckets split by another level of
    tokens, up to ``depth`` levels; what is large then is a dense leaf too. Nothing is capped.
 5. Leaves are screened without tokens: two sets' intersection is at most the sum of the smaller counts of their histograms,
@@ -17,7 +17,7 @@
 6. Each small leaf is compared in memory. A dense leaf is dealt in pairs of blocks (at most ``block`` sets and
    ``block_tokens`` tokens), so no task holds it whole and no pair is left out.
 7. A pair counts in the least of the leaves that both sets are in, so link numbers add up without listing pairs. A leaf gives
-   each set its least linked set; min-label propagation over those edges gives the classes. (Its joins have the label of a
+   each set the least set of its component there; min-label propagation over those edges gives the classes. (Its joins have the label of a
    large class as hot key; their other side is one row a label, and Spark splits such partitions.)
 
 Defined cases: null text has no words; documents without words have links 0 and a class each; a null or repeated id is a
@@ -35,10 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MADE, named_apart, removed, row_key, text_of, words_of, written
+from .common import MADE, arrow_rows, named_apart, removed, row_key, text_of, words_of, written
 from .mph import mix
 
 RANGES = 128
+PIVOTS = 6
+#: Rows of an Arrow batch while this runs: lists of hashes are wide.
+BATCH_ROWS = 1024
 #: Rows up to which a list of document keys is broadcast (24 bytes each); a longer one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -155,7 +158,8 @@ def with_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     few = keys.select("w_key", "w_id")
     if wanted.count() <= BROADCAST_ROWS:  # texts that nobody asks for don't move
         rows = rows.join(F.broadcast(few), same, "left_semi")
-    return rows.join(keys, same).select(word_hashes().alias("words"), *[c for c in wanted.columns if c != "rep"])
+    # A shuffle join on purpose: it deals the texts evenly before they are hashed.
+    return rows.join(keys.hint("merge"), same).select(word_hashes().alias("words"), *[c for c in wanted.columns if c != "rep"])
 
 
 def children(docs: DataFrame, wanted: DataFrame, shingle: int, branches: float) -> DataFrame:
@@ -199,19 +203,30 @@ def sigs_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, RANGES)
 
 
-def pivot_shares(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(path, share): the share of a bucket's members that may be near copies of its pivot."""
-    rows = members.join(sets.select("id", "size", "sig"), "id").select("path", "id", "size", "sig")
-    pivots = rows.groupBy("path").agg(F.min(F.struct(F.xxhash64("id").alias("o"), F.col("size").alias("p_size"), F.col("sig").alias("p_sig"))).alias("p"))
-    pairs = rows.join(pivots, "path").select("path", "size", "p.p_size", "sig", "p.p_sig")
+def pivot_shares(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(path, share): of the pivots of a bucket, the greatest share of the members held against it that are like it. First paths are a
+    sample of tokens, so their overlap tells what splitting by further tokens would part."""
+    rows = members.join(sets.select("id", "paths"), "id")
+    salt = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(PIVOTS)).cast("int").alias("salt")
+    first = F.min(F.struct(F.xxhash64("id").alias("o"), F.col("paths").alias("p_paths"))).alias("p")
+    pivots = rows.groupBy("path", salt(1)).agg(first)
+    pairs = rows.select("path", salt(2), "paths").join(pivots, ["path", "salt"]).select("path", "salt", "paths", "p.p_paths")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                near = may_be_near(b.column(1).to_numpy(), b.column(2).to_numpy(), sigs_of(b.column(3)), sigs_of(b.column(4)), threshold)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.astype(np.int64))], names=["path", "near"])
+                sides = []
+                for column in (b.column(2), b.column(3)):
+                    flat, n = parts_of(column)
+                    row = np.repeat(np.arange(len(n)), n)
+                    sides.append((mix(flat.view(np.uint64) ^ mix(row.astype(np.uint64), 31), 32), row, n))
+                (x, row, n), (y, _, m) = sides
+                common = np.bincount(row[np.isin(x, y)], minlength=b.num_rows)
+                like = 2 * common >= np.maximum(n, m)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(like.astype(np.int64))], names=["path", "salt", "like"])
 
-    return pairs.mapInArrow(test, "path long, near long").groupBy("path").agg(F.avg("near").alias("share"))
+    each = pairs.mapInArrow(test, "path long, salt int, like long").groupBy("path", "salt").agg(F.avg("like").alias("share"))
+    return each.groupBy("path").agg(F.max("share").alias("share"))
 
 
 def overlaps(x: np.ndarray, row: np.ndarray, n: int, y: np.ndarray | None = None, row_y: np.ndarray | None = None, m: int = 0) -> np.ndarray:
@@ -358,31 +373,42 @@ def compare(threshold: float):
             out &= ~again
         return out
 
-    def least(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The least linked id of each row (the greatest number where there is none)."""
-        order = np.argsort(ids)
+    def least(near: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """The least label linked to each row (the greatest number where there is none)."""
+        order = np.argsort(labels)
         first = near[:, order].argmax(1)
-        return np.where(near.any(1), ids[order][first], np.iinfo(np.int64).max)
+        return np.where(near.any(1), labels[order][first], np.iinfo(np.int64).max)
 
     def leaf(t: pa.Table) -> pa.RecordBatch | None:
         path, ids, side, copies = (column_of(t, i).to_numpy() for i in range(1, 5))
         _, once = np.unique(ids, return_index=True)  # a row that is there twice has the same set
         tokens, paths = lists_of(column_of(t, 5)), lists_of(column_of(t, 6))
         size = np.array([len(x) for x in tokens])
-        a, b = once[side[once] == 0].tolist(), once[side[once] == 1].tolist()
-        if len(once) < 2 or side[once].any() and not a:
+        across = bool(side[0])  # of two blocks: side 1 and side 2
+        a, b = (once[side[once] == k].tolist() for k in ((1, 2) if across else (0, 1)))
+        if len(once) < 2 or across and not (a and b):
             return None
-        near = near_pairs(int(path[0]), a, b or None, tokens, paths, size)
+        near = near_pairs(int(path[0]), a, b if across else None, tokens, paths, size)
         if not near.any():
             return None
-        if not b:
-            return out_of(ids[a], least(near, ids[a]), near @ copies[a])
-        one, two = out_of(ids[a], least(near, ids[b]), near @ copies[b]), out_of(ids[b], least(near.T, ids[a]), near.T @ copies[a])
+        if not across:
+            return out_of(ids[a], settled(near, ids[a]), near @ copies[a])
+        root_a, root_b = settled(near, ids[a], ids[b])
+        one, two = out_of(ids[a], root_a, near @ copies[b]), out_of(ids[b], root_b, near.T @ copies[a])
         return pa.Table.from_batches([one, two]).combine_chunks().to_batches()[0]
 
-    def out_of(ids, near, links) -> pa.RecordBatch:
+    def settled(near: np.ndarray, a: np.ndarray, b: np.ndarray | None = None):
+        """The least id of each set's component inside the leaf."""
+        while True:
+            other = np.minimum(a if b is None else b, least(near.T, a))
+            new = np.minimum(a, least(near, other))
+            if (new == a).all() and (b is None or (other == b).all()):
+                return a if b is None else (a, b)
+            a, b = new, None if b is None else other
+
+    def out_of(ids, root, links) -> pa.RecordBatch:
         some = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(np.minimum(ids, near)[some]), pa.array(links[some].astype(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(root[some]), pa.array(links[some].astype(np.int64))], names=names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches):
@@ -434,17 +460,19 @@ def leaves_of(docs: DataFrame, sets: DataFrame, *, shingle: int, threshold: floa
         if level == depth - 1:
             alike = members
         else:
-            shares = written(pivot_shares(members, sets, threshold), f"jaccard-pivots{level}")
+            shares = written(pivot_shares(members, sets), f"jaccard-pivots{level}")
             alike = members.join(shares.where(F.col("share") >= 0.5).select("path"), "path", "left_semi")
-        alike = merged(alike.select("path", "id"))
+        alike = alike.select("path", "id")
         dense = alike if dense is None else dense.unionByName(alike)
         if level == depth - 1:
             break
         unlike = members.join(shares.where(F.col("share") < 0.5).select("path"), "path", "left_semi")
         wanted = unlike.groupBy("id").agg(F.collect_list(F.struct("path", "runs")).alias("starts")).join(sets.select("id", "rep"), "id")
         walked = children(docs, written(wanted, f"jaccard-split{level}"), shingle, branches)
-    none = sets.select(F.col("id").alias("path"), "id").limit(0)
-    return written(little, "jaccard-small"), written(dense if dense is not None else none, "jaccard-dense")
+    little = written(little, "jaccard-small")
+    if dense is None:
+        return little, little.limit(0)
+    return little, written(merged(written(dense, "jaccard-alike")), "jaccard-dense")
 
 
 def merged(members: DataFrame) -> DataFrame:
@@ -482,7 +510,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, little: DataFrame, dense: Data
     weight = dense.join(sets.select("id", "size"), "id").groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("tokens") / block_tokens)).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("a"), F.greatest(F.col("own"), j).alias("b"), F.when(F.col("own") > j, 1).otherwise(0).alias("side")))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("a"), F.greatest(F.col("own"), j).alias("b"), F.when(F.col("own") == j, 0).when(F.col("own") < j, 1).otherwise(2).alias("side")))
     cells = dense.join(weight.select("path", blocks.alias("blocks")), "path").withColumn("own", own).select("path", "id", F.explode(pair).alias("p"))
     places = cells.select("id", F.struct(F.xxhash64("path", "p.a", "p.b").alias("key"), "path", "p.side").alias("place"))
     places = places.unionByName(active.select("id", F.struct(F.xxhash64("path", F.lit(0), F.lit(0)).alias("key"), "path", F.lit(0).alias("side")).alias("place")))
@@ -491,8 +519,13 @@ def linked_sets(docs: DataFrame, sets: DataFrame, little: DataFrame, dense: Data
     return with_tokens(docs, wanted, shingle).repartition("key").sortWithinPartitions("key").mapInArrow(compare(threshold), "id long, root long, links long")
 
 
-def join(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, recall: float = 0.99999, branches: float = 4.0, small: int = 400, depth: int = 3, block: int = 4000, block_tokens: int = 4_000_000) -> DataFrame:
+def join(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, recall: float = 0.99999, branches: float = 4.0, small: int = 400, depth: int = 3, block: int = 2500, block_tokens: int = 4_000_000) -> DataFrame:
     """Every document as (doc_id, row_key, class_id, n_links, root): links to other documents, copies counted each."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _join(docs, shingle, threshold, recall, branches, small, depth, block, block_tokens)
+
+
+def _join(docs: DataFrame, shingle: int, threshold: float, recall: float, branches: float, small: int, depth: int, block: int, block_tokens: int) -> DataFrame:
     spark, runs = docs.sparkSession, runs_for(recall, threshold, branches)
     rows = written(drawn(docs, shingle, runs, branches), "jaccard-drawn")
     sets = written(sets_of(rows), "jaccard-sets")
