@@ -5,13 +5,14 @@
 2. Standardised, they go through ``features`` cosines with Gaussian frequencies: inner products of these approximate a
    Gaussian kernel. Frequencies come from a fixed seed.
 3. Each partition sums its normal equations; the driver adds them (``features`` squared numbers from at most ``parts``
-   partitions) and solves. At most ``max_labelled`` labelled rows are learnt from, the first by a hash of the id.
+   partitions) and solves. At most ``max_labelled`` rows are learnt from, the first by a hash of the id (also where ids repeat).
 4. Pool-adjacent-violators turns scores of folds that the ridge did not see into a monotone probability.
 
 Only rows with crc32(doc_id as text) mod 5 other than 0 are learnt from. Defined cases: a null text is empty and gets a
 score like any text; labels that are null or not 0/1, and labels of unlike quality for one id, are not learnt from; without
-both labels every score is the share of label 1 (1 if there are none); repeated rows are scored each; other columns and
-names are ignored.
+both labels every score is the share of label 1 (1 if there are none); repeated rows are scored each, ties alike; very long
+texts are measured whole; an empty table gives no rows; other columns are ignored, and `accepted` keeps them whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, text_of, words_of
+from .common import SPACE_CHARS, let, named_apart, text_of, words_of, written
 
 FOLDS = 5
 
@@ -113,14 +114,17 @@ def _sums(rows: DataFrame, body, width: int) -> list[np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, features: int = 192, bandwidth: float = 4.0, ridge: float = 1e-2, seed: int = 8, max_labelled: int = 100_000, parts: int = 32) -> Model:
-    from .common import written
-
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("z"))
     known = known.where((F.col("y") == F.col("z")) & (fold_of(F.col("doc_id")) != 0)).select("doc_id", "y")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", text_of().alias("text")).join(known, "doc_id")
-    rows = rows.select(fold_of(F.col("doc_id")).cast("int").alias("fold"), F.col("y").cast("int").alias("y"), statistics_of(F.col("text")).alias("x"))
-    rows = written(rows.repartition(parts, F.xxhash64("x")), "quality-labelled")
+    place = (F.xxhash64(F.lit(seed), "doc_id").alias("o1"), F.xxhash64("text").alias("o2"))
+    rows = rows.select(fold_of(F.col("doc_id")).cast("int").alias("fold"), F.col("y").cast("int").alias("y"), statistics_of(F.col("text")).alias("x"), *place)
+    rows = written(rows, "quality-known")
+    if rows.count() > max_labelled:  # ids that repeat: the bound holds for rows too
+        rows = rows.orderBy("o1", "o2", "x").limit(max_labelled)
+    # Dealt by id and text, so that copies of one text spread; sums then come from a fixed number of partitions.
+    rows = written(rows.repartition(parts, "o1", "o2").drop("o1", "o2"), "quality-labelled")
     width = len(first["x"]) if (first := rows.first()) else 1
     model = Model(width, features, bandwidth, seed)
     moments = sum(_sums(rows, lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * width))
@@ -155,15 +159,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, features: int = 192, bandwidth: f
     return model
 
 
-def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents' columns and `quality_score`."""
-    model = fit(docs, labels, **options)
+def scored(docs: DataFrame, labels: DataFrame, name: str = "quality_score", **options) -> DataFrame:
+    """The documents' columns and their score, in a new column of this name."""
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {name} already")
+    model = fit(docs.select("doc_id", "text"), labels, **options)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
             yield pd.Series(model.score(np.array(x.tolist(), float).reshape(len(x), -1)) if len(x) else [], dtype=float)
 
-    return docs.withColumn("quality_score", F.pandas_udf(score, "double")(statistics_of(text_of())))
+    return docs.withColumn(name, F.pandas_udf(score, "double")(statistics_of(text_of())))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
+    """The documents whose score reaches the threshold."""
+    (name,) = named_apart(docs, "score")
+    return scored(docs, labels, name, **options).where(F.col(name) >= threshold).drop(name)
 
 
 def report(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:

@@ -2,20 +2,21 @@
 
 Every benchmark item is cut into windows of ``window`` consecutive words (an item with fewer words is one window). A
 window is the set of its shingles of ``shingle`` words, each with its offset. Exact containment of a window needs all of
-its shingles, so one is a sufficient prefix: the rarest by its count over all documents.
+its shingles, so one of them is a sufficient prefix.
 
-1. One scan of the documents finds every occurrence of a benchmark shingle: positions are hashed in the row, joined to
-   the shingles by hash and then held word by word against them.
-2. Shingles are ordered by rarity; each window keeps its rarest as prefix and is joined to the occurrences of that alone.
-3. Position bounds: the window must start at word 0 or later and end within the document.
-4. Verification: the shingles that cover the window, end to end, must all occur at their offsets from that start.
+1. Order: one scan of all documents counts the shingles of the benchmark in them (with map-side combine).
+2. Prefix: each distinct window keeps its rarest shingle. A window with a shingle of count 0 stands in no document and goes.
+3. Join: a second scan joins the documents' shingles with the prefixes alone, by hash.
+4. Bounds: the window must start at word 0 or later and end within the document.
+5. Verification: the document's words from that start on are held against the window, word by word.
 
-The scan broadcasts shingles in blocks of at most ``block`` (a larger benchmark takes more blocks, one scan each), so the
-size of a broadcast is bounded whatever the benchmark.
+Shingles and prefixes are broadcast up to ``block`` of them; a larger benchmark takes shuffle joins, in which positions move
+without texts and candidates fetch the words of their documents.
 
-Defined cases: a null text has no words; an item without words has no window; rows that repeat an id are judged row by
-row, by id and content; repeated items count once by item_id; empty tables give no hits or no rows; other columns are
-ignored.
+Defined cases: a null text has no words; an item without words has no window; a null item_id counts as an item, listed as
+an empty string; rows that repeat an id are judged row by row, by id and content; repeated items count once by item_id;
+ties between shingles go to the lower offset; very long texts are scanned whole; empty tables give no hits or no rows; other
+columns are ignored, and `without` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, text_of, written
+from .common import named_apart, row_key, text_of, written
 
 #: Runs of characters that are in no word, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,85 +48,73 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(w, i + 1, window))).alias("words")).distinct()
 
 
-def shingles_of(windows: DataFrame, shingle: int) -> DataFrame:
-    """(words, size, last, offset, part): the shingles of each distinct window."""
-    size = F.least(F.size("words"), F.lit(shingle))
-    distinct = windows.select("words").distinct().withColumn("size", size).withColumn("last", F.size("words") - F.col("size"))
-    return distinct.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("offset")).withColumn(
-        "part", F.slice("words", F.col("offset") + 1, F.col("size"))
-    )
-
-
-def occurrences(docs: DataFrame, parts: DataFrame, sizes: list[int], block: int) -> DataFrame:
-    """(doc_id, row_key, n_words, position, part) of each shingle in each document, and a row of position -1 for each document."""
-    w, spark = F.col("w"), docs.sparkSession
-    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), item_words(text_of()).alias("w"))
+def _hashed(words: Column, sizes: list[int]) -> Column:
+    """(size, position, hash) of every shingle of these sizes."""
+    empty = F.array().cast("array<struct<size:int,position:int,hash:bigint>>")
 
     def places(size: int) -> Column:
-        empty = F.array().cast("array<struct<size:int,position:int,hash:bigint>>")
         each = F.transform(
-            F.sequence(F.lit(0), F.size(w) - size),
-            lambda i: F.struct(F.lit(size).alias("size"), i.alias("position"), _hash(w, i, size).alias("hash")),
-        )
-        return F.when(F.size(w) >= size, each).otherwise(empty)
-
-    found = rows.select("doc_id", "row_key", F.size("w").alias("n_words"), F.lit(-1).alias("position"), F.lit(None).cast("array<string>").alias("part"))
-    mark = F.array(F.struct(F.lit(0).alias("size"), F.lit(-1).alias("position"), F.lit(0).cast("long").alias("hash")))
-    n = parts.count() if sizes else 0
-    blocks = -(-n // block)
-    for b in range(blocks):
-        own = parts.where(F.pmod(F.xxhash64("part"), F.lit(blocks)) == b)
-        keys = [F.get(F.col("part"), F.lit(k)) for k in range(max(sizes))]
-        hashed = F.lit(None).cast("long")
-        for s in sizes:
-            hashed = F.when(F.col("size") == s, F.xxhash64(*keys[:s])).otherwise(hashed)
-        own = own.select(F.col("size").alias("b_size"), hashed.alias("b_hash"), "part")
-        if not b:  # the mark of each document rides along, so that one scan gives both
-            none = spark.range(1).select(F.lit(0).alias("b_size"), F.lit(0).cast("long").alias("b_hash"), F.lit(None).cast("array<string>").alias("part"))
-            own = own.unionByName(none)
-        spots = F.concat(*([mark] if not b else []), *[places(s) for s in sizes])
-        spread = rows.select("doc_id", "row_key", "w", F.size("w").alias("n_words"), spots.alias("spots")).select(
-            "doc_id", "row_key", "n_words", "w", F.inline_outer("spots")
+            F.sequence(F.lit(0), F.size(words) - size),
+            lambda i: F.struct(F.lit(size).alias("size"), i.alias("position"), _hash(words, i, size).alias("hash")),
         )
-        same = (F.col("hash") == F.col("b_hash")) & (F.col("size") == F.col("b_size"))
-        for k in range(max(sizes)):
-            same = same & ((F.col("size") <= k) | F.get(w, F.col("position") + k).eqNullSafe(F.get("part", F.lit(k))))
-        part = spread.join(F.broadcast(own), same).select("doc_id", "row_key", "n_words", "position", "part")
-        found = part if not b else found.unionByName(part)
-    return found
+        return F.when(F.size(words) >= size, each).otherwise(empty)
+
+    return F.concat(*[places(s) for s in sizes]) if sizes else empty
+
+
+def shingles_of(windows: DataFrame, shingle: int) -> DataFrame:
+    """(words, size, offset, hash): the shingles of each distinct window."""
+    size = F.least(F.size("words"), F.lit(shingle)).cast("int")
+    rows = windows.select("words").distinct().withColumn("size", size)
+    hashed = F.lit(None).cast("long")
+    for s in range(1, shingle + 1):
+        hashed = F.when(F.col("size") == s, _hash(F.col("words"), F.col("offset"), s)).otherwise(hashed)
+    return rows.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("offset")).withColumn("hash", hashed)
+
+
+def prefixes_of(docs: DataFrame, shingles: DataFrame, sizes: list[int], block: int) -> DataFrame:
+    """(words, size, offset, hash): the rarest shingle of each window that can stand in a document."""
+    parts = written(shingles.select("size", "hash").distinct(), "decon-parts")
+    few = parts.count() <= block
+    spots = docs.select(F.explode(_hashed(F.col("w"), sizes)).alias("s")).select("s.size", "s.hash")
+    counts = spots.join(F.broadcast(parts) if few else parts, ["size", "hash"]).groupBy("size", "hash").agg(F.count("*").alias("n"))
+    ordered = shingles.join(written(counts, "decon-counts"), ["size", "hash"], "left")
+    rarest = ordered.groupBy("words", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "hash")).alias("r"))
+    return rarest.where(F.col("r.n") > 0).select("words", "size", "r.offset", "r.hash")
+
+
+def found_at(rows: DataFrame, prefixes: DataFrame, sizes: list[int], block: int) -> tuple[DataFrame, DataFrame]:
+    """The documents as (doc_id, row_key, n_words), and (doc_id, row_key, start, words) of each window where it stands."""
+    w, spark = F.col("w"), rows.sparkSession
+    start = F.col("position") - F.col("offset")
+    bounds = (start >= 0) & (start + F.size("words") <= F.col("n_words"))
+    verified = F.slice(w, F.col("start") + 1, F.size("words")) == F.col("words")
+    counted = rows.select("doc_id", "row_key", F.size(w).alias("n_words"), "w")
+    if prefixes.count() <= block:
+        # A mark of each document rides along, so that one scan gives both.
+        marks = spark.range(1).select(F.lit(None).cast("array<string>").alias("words"), F.lit(0).alias("size"), F.lit(0).alias("offset"), F.lit(0).cast("long").alias("hash"))
+        mark = F.array(F.struct(F.lit(0).alias("size"), F.lit(-1).alias("position"), F.lit(0).cast("long").alias("hash")))
+        spots = counted.select("*", F.inline(F.concat(mark, _hashed(w, sizes))))
+        met = spots.join(F.broadcast(prefixes.unionByName(marks)), ["size", "hash"]).withColumn("start", start)
+        met = met.where((F.col("position") < 0) | bounds & verified).select("doc_id", "row_key", "n_words", "start", "words")
+        met = written(met, "decon-found")
+        return met.where(F.col("words").isNull()).select("doc_id", "row_key", "n_words"), met.where(F.col("words").isNotNull()).drop("n_words").distinct()
+    spots = counted.select("doc_id", "row_key", "n_words", F.inline(_hashed(w, sizes)))
+    near = spots.join(prefixes, ["size", "hash"]).where(bounds).select(F.col("doc_id").alias("c_id"), F.col("row_key").alias("c_key"), start.alias("start"), "words").distinct()
+    same = F.col("c_id").eqNullSafe(F.col("doc_id")) & (F.col("c_key") == F.col("row_key"))
+    met = counted.join(near, same).where(verified).select("doc_id", "row_key", "start", "words").distinct()
+    return counted.drop("w"), written(met, "decon-found")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shingle: int = 5, block: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """Documents as (doc_id, row_key, n_words), and hits as (doc_id, row_key, start, words): each window where it occurs."""
+    """Documents as (doc_id, row_key, n_words), and hits as (doc_id, row_key, start, words, item_id): each window where it occurs."""
     windows = written(windows_of(benchmark, window), "decon-windows")
     shingles = written(shingles_of(windows, shingle), "decon-shingles")
-    parts = shingles.select("size", "part").distinct()
     sizes = sorted(r["size"] for r in shingles.select("size").distinct().collect())  # at most `shingle` values
-    found = written(occurrences(docs, parts, sizes, block), "decon-found")
-    marks = found.where(F.col("position") < 0).select("doc_id", "row_key", "n_words")
-    found = found.where(F.col("position") >= 0).distinct()
-
-    counts = found.groupBy("part").agg(F.count("*").alias("n"))
-    ordered = shingles.join(counts, "part", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    prefix = ordered.groupBy("words", "size", "last").agg(F.min(F.struct("n", "offset", "part")).alias("rarest")).where(F.col("rarest.n") > 0)
-    prefix = prefix.select("words", "size", "last", F.col("rarest.offset").alias("offset"), F.col("rarest.part").alias("part"))
-    start = F.col("position") - F.col("offset")
-    candidates = found.join(prefix, "part").withColumn("start", start)
-    candidates = candidates.where((F.col("start") >= 0) & (F.col("start") + F.size("words") <= F.col("n_words")))
-    cover = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("last"), F.col("size")), F.array("last")))
-    checks = candidates.select("doc_id", "row_key", "start", "words", "size", F.size(cover).alias("needed"), F.explode(cover).alias("offset"))
-    checks = checks.select(
-        F.col("doc_id").alias("c_id"), F.col("row_key").alias("c_key"), "start", "words", "needed",
-        F.slice("words", F.col("offset") + 1, F.col("size")).alias("c_part"), (F.col("start") + F.col("offset")).alias("c_position"),
-    )
-    same = (
-        F.col("c_id").eqNullSafe(F.col("doc_id")) & (F.col("c_key") == F.col("row_key"))
-        & (F.col("c_position") == F.col("position")) & (F.col("c_part") == F.col("part"))
-    )
-    met = checks.join(found.select("doc_id", "row_key", "position", "part"), same)
-    met = met.groupBy("doc_id", "row_key", "start", "words", "needed").agg(F.count("*").alias("met"))
-    hits = met.where(F.col("met") == F.col("needed")).select("doc_id", "row_key", "start", "words")
-    return marks, written(hits, "decon-hits").join(windows, "words").select("doc_id", "row_key", "start", "words", "item_id")
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), item_words(text_of()).alias("w"))
+    prefixes = written(prefixes_of(rows, shingles, sizes, block), "decon-prefixes")
+    marks, hits = found_at(rows, prefixes, sizes, block)
+    return marks, hits.join(windows, "words").select("doc_id", "row_key", "start", "words", "item_id")
 
 
 def covered_words(spans: Column) -> Column:
@@ -141,7 +130,7 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Every document with its words, the words hit, and the items whose windows occur."""
     marks, hits = find(docs, benchmark, **options)
     spans = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.size("words")).alias("end"))))
-    items = F.sort_array(F.collect_set(F.col("item_id").cast("string")))
+    items = F.sort_array(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))))
     by = hits.groupBy("doc_id", "row_key").agg(spans.alias("spans"), items.alias("items"))
     by = by.withColumnsRenamed({"doc_id": "h_id", "row_key": "h_key"})
     rows = marks.join(by, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("row_key") == F.col("h_key")), "left")
@@ -155,6 +144,7 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def without(docs: DataFrame, contaminated: DataFrame) -> DataFrame:
     """The documents that are not in `contaminated` (doc_id, row_key)."""
-    bad = contaminated.select(F.col("doc_id").alias("b_id"), F.col("row_key").alias("b_key")).distinct()
-    keyed = docs.withColumn("k_key", row_key("doc_id", "text"))
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("k_key") == F.col("b_key")), "left_anti").select(*docs.columns)
+    i, k, own = named_apart(docs, "id", "key", "own")
+    bad = contaminated.select(F.col("doc_id").alias(i), F.col("row_key").alias(k)).distinct()
+    keyed = docs.withColumn(own, row_key("doc_id", "text"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(k)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -442,7 +442,7 @@ def with_tokens(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def leaves_of(docs: DataFrame, sets: DataFrame, *, shingle: int, threshold: float, runs: int, branches: float, small: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(path, id) of small leaves and of dense ones, each of two sets or more."""
+    """(path, id) of small leaves and (leaf, id) of dense ones, each of two sets or more."""
     walked = sets.select(F.explode(F.array_distinct("paths")).alias("path"), "id")
     little, dense = None, None
     for level in range(depth):
@@ -456,13 +456,13 @@ def leaves_of(docs: DataFrame, sets: DataFrame, *, shingle: int, threshold: floa
         large = counts.where(F.col("n") > small)
         if large.isEmpty():
             break
-        members = written(walked.join(large.select("path", "runs"), "path").select("path", "id", "runs"), f"jaccard-large{level}")
+        members = written(walked.join(large.select("path", "runs", "n"), "path").select("path", "id", "runs", "n"), f"jaccard-large{level}")
         if level == depth - 1:
             alike = members
         else:
             shares = written(pivot_shares(members, sets), f"jaccard-pivots{level}")
             alike = members.join(shares.where(F.col("share") >= 0.5).select("path"), "path", "left_semi")
-        alike = alike.select("path", "id")
+        alike = alike.select(F.col("path").alias("leaf"), "id", "n")
         dense = alike if dense is None else dense.unionByName(alike)
         if level == depth - 1:
             break
@@ -471,17 +471,17 @@ def leaves_of(docs: DataFrame, sets: DataFrame, *, shingle: int, threshold: floa
         walked = children(docs, written(wanted, f"jaccard-split{level}"), shingle, branches)
     little = written(little, "jaccard-small")
     if dense is None:
-        return little, little.limit(0)
+        return little, little.limit(0).withColumnRenamed("path", "leaf")
     return little, written(merged(written(dense, "jaccard-alike")), "jaccard-dense")
 
 
 def merged(members: DataFrame) -> DataFrame:
-    """Dense leaves (path, id); one whose members mostly share an earlier one is joined with it."""
-    first = members.groupBy("id").agg(F.min("path").alias("first"))
-    tally = members.join(first, "id").groupBy("path", "first").agg(F.count("*").alias("n"))
-    best = tally.groupBy("path").agg(F.max(F.struct("n", "first")).alias("b"), F.sum("n").alias("all"))
-    to = best.select("path", F.when(2 * F.col("b.n") >= F.col("all"), F.col("b.first")).otherwise(F.col("path")).alias("to"))
-    return members.join(to, "path").select(F.col("to").alias("path"), "id").distinct()
+    """Dense leaves (leaf, id); of members (leaf, id, n), a leaf whose members mostly share a larger one is joined with it."""
+    largest = members.groupBy("id").agg(F.max(F.struct("n", "leaf")).alias("x")).select("id", F.col("x.leaf").alias("first"))
+    tally = members.join(largest, "id").groupBy("leaf", "first").agg(F.count("*").alias("n"))
+    best = tally.groupBy("leaf").agg(F.max(F.struct("n", "first")).alias("b"), F.sum("n").alias("all"))
+    to = best.select("leaf", F.when(2 * F.col("b.n") >= F.col("all"), F.col("b.first")).otherwise(F.col("leaf")).alias("to"))
+    return members.join(to, "leaf").select(F.col("to").alias("leaf"), "id").distinct()
 
 
 def propagated(edges: DataFrame) -> DataFrame:
@@ -504,15 +504,15 @@ def propagated(edges: DataFrame) -> DataFrame:
 
 def linked_sets(docs: DataFrame, sets: DataFrame, little: DataFrame, dense: DataFrame, *, shingle: int, threshold: float, block: int, block_tokens: int) -> DataFrame:
     """(id, root, links): what each leaf gives each of its sets."""
-    paths = little.unionByName(dense).groupBy("id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    paths = little.unionByName(dense.withColumnRenamed("leaf", "path")).groupBy("id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     rows = little.join(sets.select("id", "size", "sig").join(paths, "id"), "id")
     active = written(screened(rows, threshold), "jaccard-active")
-    weight = dense.join(sets.select("id", "size"), "id").groupBy("path").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    weight = dense.join(sets.select("id", "size"), "id").groupBy("leaf").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("tokens") / block_tokens)).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("a"), F.greatest(F.col("own"), j).alias("b"), F.when(F.col("own") == j, 0).when(F.col("own") < j, 1).otherwise(2).alias("side")))
-    cells = dense.join(weight.select("path", blocks.alias("blocks")), "path").withColumn("own", own).select("path", "id", F.explode(pair).alias("p"))
-    places = cells.select("id", F.struct(F.xxhash64("path", "p.a", "p.b").alias("key"), "path", "p.side").alias("place"))
+    cells = dense.join(weight.select("leaf", blocks.alias("blocks")), "leaf").withColumn("own", own).select("leaf", "id", F.explode(pair).alias("p"))
+    places = cells.select("id", F.struct(F.xxhash64("leaf", "p.a", "p.b").alias("key"), F.col("leaf").alias("path"), "p.side").alias("place"))
     places = places.unionByName(active.select("id", F.struct(F.xxhash64("path", F.lit(0), F.lit(0)).alias("key"), "path", F.lit(0).alias("side")).alias("place")))
     places = places.groupBy("id").agg(F.collect_list("place").alias("places"), F.array_sort(F.collect_set("place.path")).alias("paths"))
     wanted = written(places.join(sets.select("id", "rep", "copies"), "id"), "jaccard-wanted")

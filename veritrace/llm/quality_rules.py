@@ -5,15 +5,19 @@ against the reference of the language by the Jensen-Shannon distance (base 2, 0
 histograms are noise, from being judged: below ``min_chars`` the classes, below ``min_words`` the words don't count.
 
 References come from all documents that pass the base rules. A language with fewer than ``min_reference_words`` words in
-all is held against the pooled reference of all languages.
+all is held against the pooled reference: the classes, and the words common over all languages, in the documents of all.
+References are a row per language; they are broadcast up to ``broadcast_rows`` of them, and joined by shuffle beyond.
 
 Defined cases: a null text is empty (no words, base fails); a null language is a language of its own; rows that repeat an
-id are judged row by row (no join on the id); an empty table gives an empty result; columns other than ``doc_id``,
-``text`` and ``lang`` are ignored.
+id are judged row by row (no join on the id); of words equally common the first by code point ranks higher; very long texts
+are read whole; an empty table gives an empty result; columns other than ``doc_id``, ``text`` and ``lang`` are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +125,16 @@ def common_words_of(docs: DataFrame, count: int) -> DataFrame:
     return n.withColumn("rank", rank).where(F.col("rank") <= count).select("lang", "word", "rank")
 
 
+def common_counts(docs: DataFrame, words: DataFrame, known: DataFrame, ranks: range, side) -> DataFrame:
+    """By document: w_k, how often it has the word of rank k of its language, and g_k, the same of all languages' words."""
+    own = words.where(F.col("lang") != "*").join(side(known.select("lang")), "lang", "left_semi").withColumnRenamed("rank", "w")
+    pooled = words.where(F.col("lang") == "*").select("word", F.col("rank").alias("g"))
+    common = tokens(docs, False).join(side(own), ["lang", "word"], "left").join(F.broadcast(pooled), "word", "left")
+    common = common.where(F.col("w").isNotNull() | F.col("g").isNotNull())
+    counts = [F.count(F.when(F.col(c) == k, 1)).alias(f"{c}_{k}") for c in ("w", "g") for k in ranks]
+    return common.groupBy("doc_id", "row_key").agg(*counts)
+
+
 def judge(
     docs: DataFrame,
     *,
@@ -130,36 +144,38 @@ def judge(
     min_words: int = 50,
     max_class_distance: float = 0.25,
     max_word_distance: float = 0.32,
+    broadcast_rows: int = 10_000,
 ) -> DataFrame:
     """Base counts, both distances (null where a guard holds them back) and the verdict of every document."""
     stats = written(measured(docs), "quality-stats")
-    # A row per language, and common_words rows per language: small by that bound.
     classes = written(class_reference(stats, min_reference_words), "quality-classes")
     words = written(common_words_of(docs, common_words), "quality-words")
+    few = classes.count() <= broadcast_rows
+    side = F.broadcast if few else lambda df: df
     known = classes.select(F.col("lang"), F.lit(True).alias("known"))
-    ref = F.when(F.col("known"), F.col("lang")).otherwise(F.lit("*"))
     ranks = range(1, common_words + 1)
-    common = tokens(docs, False).join(known, "lang", "left").withColumn("lang", ref).join(words, ["lang", "word"])
-    counts = [F.count(F.when(F.col("rank") == k, 1)).alias(f"w_{k}") for k in ranks]
-    hits = written(common.groupBy("doc_id", "row_key").agg(*counts, F.count("*").alias("common")), "quality-hits")
+    hits = written(common_counts(docs, words, classes.where(F.col("lang") != "*"), ranks, side), "quality-hits")
     # A row that is there twice was counted twice: its twins share the counts.
     twins = Window.partitionBy("doc_id", "row_key")
-    rows = stats.join(known, "lang", "left").withColumn("ref", ref).drop("lang", "known")
+    rows = stats.join(side(known), "lang", "left").withColumn("ref", F.when(F.col("known"), F.col("lang")).otherwise(F.lit("*"))).drop("known")
     rows = rows.withColumn("twins", F.count("*").over(twins))
     h = hits.withColumnsRenamed({"doc_id": "h_id", "row_key": "h_key"})
     rows = rows.join(h, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("row_key") == F.col("h_key")), "left")
+    per_row = [(F.coalesce(f"{c}_{k}", F.lit(0)) / F.col("twins")).alias(f"{c}_{k}") for c in ("w", "g") for k in ranks]
+    rows = written(rows.select(*[c for c in rows.columns if not re.fullmatch(r"[wg]_\d+|h_id|h_key|twins", c)], *per_row), "quality-rows")
     good = rows.where(~F.col("base_failed"))
-    sums = good.groupBy("ref").agg(F.sum("n_words").alias("total"), *[F.sum(F.coalesce(f"w_{k}", F.lit(0)) / F.col("twins")).alias(f"s_{k}") for k in ranks])
-    pool = sums.agg(*[F.sum(c).alias(c) for c in sums.columns[1:]]).select(F.lit("*").alias("ref"), *sums.columns[1:])
-    shares = sums.where(F.col("ref") != "*").unionByName(pool).select("ref", *[F.try_divide(f"s_{k}", F.col("total")).alias(f"q_{k}") for k in ranks])
-    rows = rows.join(classes.withColumnRenamed("lang", "ref").drop("all_words").join(shares, "ref", "left"), "ref", "left")
-    n_chars, n_words = F.greatest("n_chars", F.lit(1)), F.greatest("n_words", F.lit(1)) * F.col("twins")
+    total = F.sum("n_words")
+    by = good.where(F.col("ref") != "*").groupBy("ref").agg(*[F.try_divide(F.sum(f"w_{k}"), total).alias(f"q_{k}") for k in ranks])
+    pool = good.agg(*[F.try_divide(F.sum(f"g_{k}"), total).alias(f"q_{k}") for k in ranks]).select(F.lit("*").alias("ref"), *[f"q_{k}" for k in ranks])
+    shares = by.unionByName(pool)
+    reference = written(classes.withColumnRenamed("lang", "ref").drop("all_words").join(shares, "ref", "left"), "quality-reference")
+    rows = rows.join(side(reference), "ref", "left")
+    n_chars, n_words = F.greatest("n_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
     by_class = _distance([F.col(f"c_{c}") / n_chars for c in CLASSES], [F.coalesce(f"q_{c}", F.lit(0.0)) for c in CLASSES])
-    p = [F.coalesce(f"w_{k}", F.lit(0)) / n_words for k in ranks]
+    p = [F.when(F.col("ref") == "*", F.col(f"g_{k}")).otherwise(F.col(f"w_{k}")) / n_words for k in ranks]
     q = [F.coalesce(f"q_{k}", F.lit(0.0)) for k in ranks]
-    rest = lambda total: F.greatest(1 - total, F.lit(0.0))
-    p_rest, q_rest = rest(F.coalesce("common", F.lit(0)) / n_words), rest(sum(q[1:], q[0]))
-    by_word = _distance([*p, p_rest], [*q, q_rest])
+    rest = lambda shares: F.greatest(1 - sum(shares[1:], shares[0]), F.lit(0.0))
+    by_word = _distance([*p, rest(p)], [*q, rest(q)])
     rows = rows.withColumn("class_distance", F.when(F.col("n_chars") >= min_chars, F.round(by_class, 6)))
     rows = rows.withColumn("word_distance", F.when(F.col("n_words") >= min_words, F.round(by_word, 6)))
     odd = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)

@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from .common import create_shared, new_path, open_shared, text_of, written
 from .mph import PerfectHash, mix
 
-MANIFEST = "shard int, path string, n_docs long, n_tokens long, width int"
+MANIFEST = "shard int, part int, path string, n_docs long, n_tokens long, width int"
 FEW = 256  # texts encoded at once
 MOST_WORDS, LONG_WORD = 1_500_000, 64  # words whose ids a worker holds, and the length of the longest
+PROBED = 512  # by_word: one text in so many is encoded whole too, and must give the same ids
+UNLIKE = "this tokenizer does not drop blanks"
 
 
 def encoder(path: str, literal: bool = False):
@@ -97,7 +99,7 @@ def packer(path: str, end_id: int, literal: bool, by_word: bool):
         return (lambda texts: [np.array(ids, kind).tobytes() + end for ids in encode(texts)]), int(kind[-1])
     for probe in (" a", "a b", "a \n\t b\r", "A. (b's"):
         if encode([probe])[0] != [i for x in encode(split_words(probe)) for i in x]:
-            raise ValueError("this tokenizer does not drop blanks: by_word must be off")
+            raise ValueError(UNLIKE)
     words_encoder = word_encoder(path, literal, kind)
     held: dict[str, bytes] = {}
 
@@ -108,6 +110,10 @@ def packer(path: str, end_id: int, literal: bool, by_word: bool):
         new = list(set().union(*words).difference(held))
         held.update(zip(new, words_encoder(new)))
         out = [b"".join(map(held.__getitem__, w)) + end for w in words]
+        probes = [k for k, t in enumerate(texts) if zlib.crc32(t.encode("utf-8", "replace")) % PROBED == 0]
+        for k, ids in zip(probes, encode([texts[k] for k in probes])) if probes else ():
+            if np.array(ids, kind).tobytes() + end != out[k]:
+                raise ValueError(UNLIKE)
         for w in new:  # what stays held is bounded in number and length
             if len(w) > LONG_WORD:
                 del held[w]
@@ -116,11 +122,11 @@ def packer(path: str, end_id: int, literal: bool, by_word: bool):
     return packed, int(kind[-1])
 
 
-def keys_of(ids: list, nth: np.ndarray) -> np.ndarray:
-    """Distinct 64-bit keys of (id, number among equal ids) in one file."""
+def keys_of(ids: list, nth: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit keys of (id, number among equal ids) in one file."""
     raw = np.array([0 if x is None else x for x in ids], np.int64).view(np.uint64)
     none = np.array([x is None for x in ids], np.uint64)
-    return mix(mix(raw, 101) + nth.astype(np.uint64), 102) ^ none
+    return mix(mix(raw, 101 + 10 * seed) + nth.astype(np.uint64), 102) ^ none
 
 
 def numbered(ids: list) -> np.ndarray:
@@ -133,9 +139,9 @@ def numbered(ids: list) -> np.ndarray:
 
 
 def _index(ids: list, lengths: list[int]) -> bytes:
-    keys = keys_of(ids, numbered(ids))
-    if len(np.unique(keys)) < len(keys):
-        raise ValueError("two documents of one file share a 64-bit key; write with more shards")
+    seed, nth = 0, numbered(ids)
+    while len(np.unique(keys := keys_of(ids, nth, seed))) < len(keys):
+        seed += 1  # two documents share a key: another seed parts them
     table = PerfectHash.build(keys)
     slots = table.slots(keys)
     n = np.array(lengths, np.int64)
@@ -144,57 +150,74 @@ def _index(ids: list, lengths: list[int]) -> bytes:
     out = io.BytesIO()
     none = np.array([x is None for x in ids], bool)
     parts = {k: np.frombuffer(v, np.uint8) for k, v in table.parts().items()}
-    np.savez(out, ids=np.array([x or 0 for x in ids], np.int64), none=none, prints=prints, offsets=offsets, lengths=sizes, **parts)
+    np.savez(out, seed=np.array([seed]), ids=np.array([x or 0 for x in ids], np.int64), none=none, prints=prints, offsets=offsets, lengths=sizes, **parts)
     return out.getvalue()
 
 
-def write_files(docs: DataFrame, *, tokenizer: str, end_id: int, keyed: bool = True, literal: bool = False, by_word: bool = False) -> DataFrame:
+def write_files(docs: DataFrame, *, tokenizer: str, end_id: int, keyed: bool = True, literal: bool = False, by_word: bool = False, file_tokens: int = 1 << 27, file_docs: int = 1 << 20) -> DataFrame:
     """Writes the files; the manifest, a row per file.
 
     keyed: documents ascend by id, with an index; else they stay in their partitions (no shuffle), and the ids alone are
     listed beside the payload. by_word: the tokenizer drops blanks and no token reaches across one, so each distinct word
-    between blanks is encoded once per worker (while held) and its ids are joined; the ids are those of the whole text.
+    between blanks is encoded once per worker (while held) and its ids are joined; the ids are those of the whole text. A sample
+    of texts is held against whole encoding, and where that differs all is written anew without by_word.
     """
     folder = new_path(docs.sparkSession, "tokens")
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, width = packer(tokenizer, end_id, literal, by_word)
-        path, out, ids, lengths = f"{folder}/{uuid.uuid4().hex}", None, [], []
+    def write(batches: Iterator[pa.RecordBatch], joined: bool) -> Iterator[pa.RecordBatch]:
+        packed, width = packer(tokenizer, end_id, literal, joined)
+        kinds = [("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]
+        part, path, out, ids, lengths, total = 0, "", None, [], [], 0
+        few = min(FEW, file_docs)
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            with create_shared(f"{path}.idx") as f:
+                f.write(_index(ids, lengths) if keyed else json.dumps(ids).encode())
+            row = [TaskContext.get().partitionId(), part, path, len(ids), total, width]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(row, kinds)], names=[n for n, _ in kinds])
+
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(names), FEW):
-                some = packed(texts.slice(k, FEW).to_pylist())
+            for k in range(0, len(names), few):
+                some = packed(texts.slice(k, few).to_pylist())
                 if out is None:
+                    path = f"{folder}/{uuid.uuid4().hex}"
                     out = create_shared(f"{path}.bin")
                 out.write(b"".join(some))
                 lengths += [len(x) // width for x in some]
-            ids += names
-        if out is None:
-            return
-        out.close()
-        with create_shared(f"{path}.idx") as f:
-            f.write(_index(ids, lengths) if keyed else json.dumps(ids).encode())
-        row = [TaskContext.get().partitionId(), path, len(ids), sum(lengths), width]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=["shard", "path", "n_docs", "n_tokens", "width"])
+                total += sum(len(x) // width for x in some)
+                ids += names[k : k + few]
+                if total >= file_tokens or len(ids) >= file_docs:
+                    yield closed()
+                    part, out, ids, lengths, total = part + 1, None, [], [], 0
+        if out is not None:
+            yield closed()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     if keyed:
         rows = rows.withColumn("tie", F.xxhash64("text"))
         rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    return written(rows.select("doc_id", "text").mapInArrow(write, MANIFEST), "tokens-manifest")
+    rows = rows.select("doc_id", "text")
+    try:
+        return written(rows.mapInArrow(lambda batches: write(batches, by_word), MANIFEST), "tokens-manifest")
+    except Exception as e:
+        if not by_word or UNLIKE not in str(e):
+            raise
+        return written(rows.mapInArrow(lambda batches: write(batches, False), MANIFEST), "tokens-manifest")
 
 
 def _started(manifest: DataFrame) -> DataFrame:
     """(path, start, width) of each file, one per partition: the driver sums a number per file."""
     spark, at, rows = manifest.sparkSession, 0, []
-    for r in sorted(manifest.collect(), key=lambda r: r["shard"]):
-        rows.append((r["path"], at, r["width"], r["n_tokens"], r["shard"]))
+    for r in sorted(manifest.collect(), key=lambda r: (r["shard"], r["part"])):
+        rows.append((r["path"], at, r["width"], r["n_tokens"], r["shard"], r["part"]))
         at += r["n_tokens"]
-    df = spark.createDataFrame(rows, "path string, start long, width int, n_tokens long, shard int")
+    df = spark.createDataFrame(rows, "path string, start long, width int, n_tokens long, shard int, part int")
     return df.repartition(max(1, min(len(rows), 4096)), "path")
 
 
-def read_files(manifest: DataFrame) -> DataFrame:
+def read_files(manifest: DataFrame, block_bytes: int = 1 << 24) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every key, through the index and the payload."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,16 +227,22 @@ def read_files(manifest: DataFrame) -> DataFrame:
                     z = dict(np.load(io.BytesIO(f.read())))
                 table = PerfectHash.of(z["bits"].tobytes(), z["sizes"].tobytes(), z["rest"].tobytes())
                 ids = [None if n else int(i) for i, n in zip(z["ids"], z["none"])]
-                keys = keys_of(ids, numbered(ids))
+                keys = keys_of(ids, numbered(ids), int(z["seed"][0]))
                 slots = table.slots(keys)
                 if len(keys) and not (slots.min() >= 0 and (z["prints"][slots] == mix(keys, 103).view(np.int64)).all()):
                     raise ValueError(f"{r['path']}: a key is not in the index")
                 offsets, lengths = z["offsets"][slots], z["lengths"][slots]
-                crcs = np.zeros(len(keys), np.int64)
+                crcs, width = np.zeros(len(keys), np.int64), r["width"]
+                order = np.argsort(offsets, kind="stable").tolist()
                 with open_shared(f"{r['path']}.bin") as f:
-                    for k, (o, n) in enumerate(zip(offsets.tolist(), lengths.tolist())):
-                        raw = f.read_at(n * r["width"], o * r["width"])
-                        crcs[k] = zlib.crc32(np.frombuffer(raw, f"<u{r['width']}").astype("<u4").tobytes())
+                    raw, begin, end = b"", 0, 0
+                    for k in order:
+                        lo, n = int(offsets[k]) * width, int(lengths[k]) * width
+                        if lo + n > end:
+                            raw, begin = f.read_at(max(n, block_bytes), lo), lo
+                            end = begin + len(raw)
+                        own = np.frombuffer(raw, f"<u{width}", int(lengths[k]), lo - begin)
+                        crcs[k] = zlib.crc32(own.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(offsets + r["start"]), pa.array(lengths), pa.array(crcs)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return _started(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
