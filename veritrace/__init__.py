@@ -1 +1,6 @@
-"""veritrace: watch-list screening and change tracking, expressed as PySpark DataFrame plans."""
+"""Watch-list screening over Spark DataFrames."""
+
+from .client import Client
+from .config import Settings, Weights
+
+__all__ = ["Client", "Settings", "Weights"]

@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
+
+from .phonetics import agreement
 
-#: Letters that compatibility decomposition leaves alone, with their plain spelling (fixed values).
-LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "œ": "oe", "ß": "ss", "ħ": "h", "ı": "i", "ŋ": "n", "ŧ": "t", "ĸ": "k", "ſ": "s"})
 #: Share of each similarity in the name score, in the order in which they are summed (fixed values).
 SHARES = {"jaro_winkler": 0.15, "token_set": 0.45, "token_sort": 0.25, "levenshtein": 0.10, "phonetic": 0.05}
 
 
-def fold_text(value: str | None) -> str | None:
-    if value is None:
-        return None
-    plain = "".join(c for c in unicodedata.normalize("NFKD", value) if unicodedata.category(c) not in ("Mn", "Me"))
-    plain = unicodedata.normalize("NFKD", plain.casefold()).translate(LETTERS)
-    kept = ((c if unicodedata.category(c)[0] in "LMN" and not 0x2B0 <= ord(c) <= 0x2FF and ord(c) not in (0x294, 0x295) else " ") for c in plain if unicodedata.category(c) not in ("Mn", "Me"))
-    return " ".join("".join(kept).split())
-
-
-@F.pandas_udf(StringType())
-def fold(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode name folding: decomposed, without marks, case-folded, punctuation as space."""
-    for s in names:
-        seen = {x: fold_text(x) for x in s.unique()}
-        yield s.map(seen)
-
-
 def jaro_of(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -73,6 +53,25 @@ def _pairwise(score):
 jaro, jaro_winkler = _pairwise(jaro_of), _pairwise(jaro_winkler_of)
 
 
+def jaro_winkler_ceiling(a: Column, b: Column) -> Column:
+    """The most that two strings of these lengths can reach: the shorter one wholly matched, in order, with a common start."""
+    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    jaro = (2 + short / F.greatest(long, F.lit(1))) / 3
+    return F.when(long == 0, 1.0).when(short == 0, 0.0).otherwise(jaro + F.least(short, F.lit(4)) * 0.1 * (1 - jaro))
+
+
+def levenshtein_ceiling(a: Column, b: Column) -> Column:
+    long = F.greatest(F.length(a), F.length(b))
+    return F.when(long == 0, 1.0).otherwise(F.least(F.length(a), F.length(b)) / F.greatest(long, F.lit(1)))
+
+
+def at_least(score: Column, threshold: float) -> Column:
+    """A score under the threshold counts as none."""
+    if not 0 <= threshold <= 1:
+        raise ValueError("a similarity threshold is between 0 and 1")
+    return F.when(score < threshold, 0.0).otherwise(score)
+
+
 def levenshtein_similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
@@ -103,13 +102,17 @@ def trigrams(folded: Column) -> Column:
     return F.array_distinct(F.flatten(pieces))
 
 
-def name_score(a: Column, b: Column) -> Column:
-    """0 to 100. The phonetic share counts tokens that are the same; phonetic keys are not there yet."""
-    x, y = tokens(a), tokens(b)
-    short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
-    same = F.when(F.size(short) == 0, 0.0).otherwise(F.size(F.filter(short, lambda t: F.array_contains(long, t))) / F.size(short))
-    parts = {"jaro_winkler": jaro_winkler(a, b), "token_set": token_set(a, b), "token_sort": token_sort(a, b), "levenshtein": levenshtein_similarity(a, b), "phonetic": same}
-    total = F.lit(0.0)
+def ratios(a: Column, b: Column, a_tokens: Column, b_tokens: Column, a_sounds: Column, b_sounds: Column) -> dict[str, Column]:
+    """The five similarities of two folded names. Only Jaro-Winkler leaves the JVM."""
+    return {
+        "jaro_winkler": jaro_winkler(a, b), "token_set": token_set(a, b), "token_sort": token_sort(a, b),
+        "levenshtein": levenshtein_similarity(a, b), "phonetic": agreement(a_tokens, a_sounds, b_tokens, b_sounds),
+    }
+
+
+def name_score(a: Column, b: Column, a_sounds: Column, b_sounds: Column) -> Column:
+    """0 to 100, of folded names and the sound keys of their tokens (columns of their own, for a lambda can't hold a Python function)."""
+    parts, total = ratios(a, b, tokens(a), tokens(b), a_sounds, b_sounds), F.lit(0.0)
     for k, share in SHARES.items():
         total = total + share * parts[k]
     return 100 * total
