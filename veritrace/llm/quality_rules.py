@@ -63,21 +63,28 @@ def measured(docs: DataFrame) -> DataFrame:
     w = F.col("words")
     windows = F.when(
         F.size(w) >= WINDOW,
-        F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])),
+        F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW)))),
     ).otherwise(F.array().cast("array<bigint>"))
-    with_word = F.filter("lines", lambda x: _without(x, SPACE_CHARS) > 0)
+    with_word = F.filter("lines", lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     n, text = F.length("text"), F.col("text")
+    # One pass takes out most of a text; the other classes are counted in what it leaves.
+    rest = F.regexp_replace(text, r"[\p{Ll}\p{Lo}\x20\x09-\x0D]+", "")
     df = df.select(
         "doc_id",
         "lang",
         "row_key",
         F.size(w).cast("long").alias("n_words"),
-        _without(text, SPACE_CHARS).cast("long").alias("word_chars"),
-        (n - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(windows, repeat_words).cast("long").alias("n_repeat_words"),
         n.cast("long").alias("n_chars"),
-        F.length(F.regexp_replace(text, r"[^\p{Ll}\p{Lo}]+", "")).cast("long").alias("c_lower"),
+        rest.alias("rest"),
+    )
+    text, n = F.col("rest"), F.length("rest")
+    df = df.select(
+        *[c for c in df.columns if c != "rest"],
+        (n - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.col("word_chars") - n).cast("long").alias("c_lower"),
         F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long").alias("c_upper"),
         (n - _without(text, "0123456789")).cast("long").alias("c_digit"),
         (n - _without(text, PUNCTUATION)).cast("long").alias("c_punct"),
@@ -99,11 +106,9 @@ def _distance(shares: list[Column], reference: list[Column]) -> Column:
     return F.sqrt(F.greatest(total / (2 * F.ln(F.lit(2.0))), F.lit(0.0)))
 
 
-def tokens(docs: DataFrame, distinct: bool) -> DataFrame:
-    """A row per word, or per distinct word, of each document. (explode() alone would split every text twice.)"""
-    words = words_of(text_of())
-    words = F.array_distinct(words) if distinct else words
-    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), F.coalesce("lang", F.lit("")).alias("lang"), F.explode_outer(words).alias("word"))
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """A row per distinct word of each document. (explode() alone would split every text twice.)"""
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode_outer(F.array_distinct(words_of(text_of()))).alias("word"))
     return rows.where(F.col("word").isNotNull())
 
 
@@ -119,7 +124,7 @@ def class_reference(stats: DataFrame, min_reference_words: int) -> DataFrame:
 
 def common_words_of(docs: DataFrame, count: int) -> DataFrame:
     """(lang, word, rank): the words in most documents of each language, and of all (``*``); ties by word."""
-    n = tokens(docs, True).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    n = distinct_words(docs).groupBy("lang", "word").agg(F.count("*").alias("n"))
     n = n.unionByName(n.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("*")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     return n.withColumn("rank", rank).where(F.col("rank") <= count).select("lang", "word", "rank")
@@ -127,10 +132,15 @@ def common_words_of(docs: DataFrame, count: int) -> DataFrame:
 
 def common_counts(docs: DataFrame, words: DataFrame, known: DataFrame, ranks: range, side) -> DataFrame:
     """By document: w_k, how often it has the word of rank k of its language, and g_k, the same of all languages' words."""
-    own = words.where(F.col("lang") != "*").join(side(known.select("lang")), "lang", "left_semi").withColumnRenamed("rank", "w")
-    pooled = words.where(F.col("lang") == "*").select("word", F.col("rank").alias("g"))
-    common = tokens(docs, False).join(side(own), ["lang", "word"], "left").join(F.broadcast(pooled), "word", "left")
-    common = common.where(F.col("w").isNotNull() | F.col("g").isNotNull())
+    # (ref, word, w, g): the common words of each reference, its own and those of all.
+    own = words.join(side(known), "lang", "left_semi").select(F.col("lang").alias("ref"), "word", F.col("rank").alias("w"))
+    refs = known.select(F.col("lang").alias("ref")).unionByName(words.sparkSession.createDataFrame([("*",)], "ref string"))
+    pooled = refs.join(F.broadcast(words.where(F.col("lang") == "*").select("word", F.col("rank").alias("g"))), F.lit(True))
+    looked_up = written(own.join(pooled, ["ref", "word"], "full_outer"), "quality-lookup")
+    ref = F.when(F.col("known"), F.col("lang")).otherwise(F.lit("*"))
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), F.coalesce("lang", F.lit("")).alias("lang"), words_of(text_of()).alias("words"))
+    rows = rows.join(side(known.withColumn("known", F.lit(True))), "lang", "left").select("doc_id", "row_key", ref.alias("ref"), F.explode_outer("words").alias("word"))
+    common = rows.join(side(looked_up), ["ref", "word"])
     counts = [F.count(F.when(F.col(c) == k, 1)).alias(f"{c}_{k}") for c in ("w", "g") for k in ranks]
     return common.groupBy("doc_id", "row_key").agg(*counts)
 
@@ -154,7 +164,7 @@ def judge(
     side = F.broadcast if few else lambda df: df
     known = classes.select(F.col("lang"), F.lit(True).alias("known"))
     ranks = range(1, common_words + 1)
-    hits = written(common_counts(docs, words, classes.where(F.col("lang") != "*"), ranks, side), "quality-hits")
+    hits = written(common_counts(docs, words, classes.where(F.col("lang") != "*").select("lang"), ranks, side), "quality-hits")
     # A row that is there twice was counted twice: its twins share the counts.
     twins = Window.partitionBy("doc_id", "row_key")
     rows = stats.join(side(known), "lang", "left").withColumn("ref", F.when(F.col("known"), F.col("lang")).otherwise(F.lit("*"))).drop("known")
