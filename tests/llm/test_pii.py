@@ -50,7 +50,8 @@ def test_unseen_formats_after_a_learnt_pattern(spark, seed):
 def test_a_pattern_does_not_vouch_for_its_own_finds(spark):
     """A common word before eight addresses and eighty numbers is no pattern of addresses."""
     rows = [(k, f"von 10.0.0.{k}") for k in range(8)] + [(100 + k, f"von {k}991.{k}") for k in range(80)]
-    assert not any(spans_of(spark, rows)[100 + k] for k in range(80))
+    got = spans_of(spark, rows)
+    assert not any(got[100 + k] for k in range(80))
 
 
 def test_nulls_repeats_and_empty(spark):
@@ -76,4 +77,4 @@ def test_many_matches_in_one_text_take_time_in_proportion(spark):
         return time.time() - began
 
     seconds(100)
-    assert seconds(20_000) < 12 * max(seconds(4000), 2)
+    assert seconds(8000) < 8 * max(seconds(2000), 2)
