@@ -78,18 +78,30 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def tokens(folded: Column) -> Column:
-    return F.filter(F.split(folded, " "), lambda x: x != "")
+    return F.array_remove(F.split(folded, " "), "")
+
+
+def sorted_line(words: Column) -> Column:
+    """The tokens in order, as one line."""
+    return F.array_join(F.sort_array(words), " ")
+
+
+def sorted_set(words: Column) -> Column:
+    return F.sort_array(F.array_distinct(words))
 
 
 def token_sort(a: Column, b: Column) -> Column:
-    line = lambda x: F.array_join(F.array_sort(tokens(x)), " ")
-    return levenshtein_similarity(line(a), line(b))
+    return levenshtein_similarity(sorted_line(tokens(a)), sorted_line(tokens(b)))
 
 
 def token_set(a: Column, b: Column) -> Column:
-    x, y = F.array_sort(F.array_distinct(tokens(a))), F.array_sort(F.array_distinct(tokens(b)))
-    both = F.array_sort(F.array_intersect(x, y))
-    one, two = (F.array_join(F.concat(both, F.array_sort(F.array_except(s, t))), " ") for s, t in ((x, y), (y, x)))
+    return set_ratio(sorted_set(tokens(a)), sorted_set(tokens(b)))
+
+
+def set_ratio(x: Column, y: Column) -> Column:
+    """The best of what sorted sets of tokens share, against each of them, and of both. (These set operations keep their order.)"""
+    both = F.array_intersect(x, y)
+    one, two = (F.array_join(F.concat(both, F.array_except(s, t)), " ") for s, t in ((x, y), (y, x)))
     shared = F.array_join(both, " ")
     best = F.greatest(levenshtein_similarity(shared, one), levenshtein_similarity(shared, two), levenshtein_similarity(one, two))
     return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(best)

@@ -56,7 +56,7 @@ class Rescreen:
         ids = near.join(self.index.entities.select("eid", "id"), "eid").select("qid", "id").distinct()
         # Both versions are scored without a cutoff, for the side under it is reported too.
         pairs = ids.join(self.index.entities.select("eid", "id"), "id").select("qid", "eid", F.lit(0.0).alias("cutoff"))
-        names = self.index.names.select("eid", "type", "position", "value", "kind", "quality", "form", "tokens", "sounds")
+        names = self.index.names.drop("source", "id")
         found = scored(pairs, ready, names, self.evidence, self.settings.weights).drop("cutoff").join(self.index.entities.select("eid", "id", "source"), "eid")
 
         def side(version: str, prefix: str) -> DataFrame:

@@ -13,7 +13,7 @@ from veritrace.config import Weights
 from veritrace.functions.dates import date_text, overlaps, same_day
 from veritrace.functions.fold import DEFAULT, Dictionary, country_keys, form_of
 from veritrace.functions.phonetics import agreement, sounds
-from veritrace.functions.similarity import jaro_winkler, jaro_winkler_ceiling, levenshtein_similarity, token_set, token_sort, tokens
+from veritrace.functions.similarity import jaro_winkler, jaro_winkler_ceiling, levenshtein_similarity, set_ratio, sorted_line, sorted_set, tokens
 
 LEAST_IDENTIFIER = 4
 
@@ -32,16 +32,20 @@ def prepared_evidence(df: DataFrame, table: dict[str, str]) -> DataFrame:
 def prepared_queries(queries: DataFrame, table: dict[str, str], dictionary: Dictionary = DEFAULT) -> DataFrame:
     """Queries with their folded name, its tokens and their sound keys."""
     df = prepared_evidence(queries, table).withColumn("form", form_of(F.col("name"), F.col("type"), dictionary))
-    df = df.withColumn("tokens", tokens(F.col("form")))
-    return df.withColumn("sounds", sounds(F.col("tokens")))
+    return with_tokens(df)
+
+
+def with_tokens(df: DataFrame) -> DataFrame:
+    """df with the tokens of `form`, their sorted line and set, and their sound keys: computed once a name, not once a pair."""
+    df = df.withColumn("tokens", tokens(F.col("form"))).withColumn("sounds", sounds("tokens"))
+    return df.withColumn("line", sorted_line(F.col("tokens"))).withColumn("set", sorted_set(F.col("tokens")))
 
 
 def name_rows(entities: DataFrame, dictionary: Dictionary = DEFAULT, *keys: str) -> DataFrame:
-    """(keys, type, position, value, kind, quality, form, tokens, sounds): each name of each entity; names that fold to nothing go."""
+    """(keys, type, position, value, kind, quality, form, tokens, sounds, line, set): each name of each entity; names that fold to nothing go."""
     df = entities.select(*keys, "type", F.posexplode("names").alias("position", "n"))
     df = df.select(*keys, "type", "position", "n.value", "n.kind", "n.quality").withColumn("form", form_of(F.col("value"), F.col("type"), dictionary))
-    df = df.where(F.col("form") != "").withColumn("tokens", tokens(F.col("form")))
-    return df.withColumn("sounds", sounds(F.col("tokens")))
+    return with_tokens(df.where(F.col("form") != ""))
 
 
 def reason(factor: str, detail: Column, contribution) -> Column:
@@ -110,13 +114,13 @@ def scored(pairs: DataFrame, queries: DataFrame, names: DataFrame, evidence: Dat
     given = F.aggregate("adjustments", F.lit(0.0), lambda a, r: a + r["contribution"])
     pairs = pairs.withColumn("floor", F.when(F.col("cutoff") > 0, F.greatest(F.col("cutoff") - given, F.lit(0.0))).otherwise(0.0))
 
-    a = queries.select("qid", F.col("form").alias("q_form"), F.col("tokens").alias("q_tokens"), F.col("sounds").alias("q_sounds"))
+    a = queries.select("qid", *[F.col(c).alias(f"q_{c}") for c in ("form", "tokens", "sounds", "line", "set")])
     rows = pairs.join(a, "qid").join(names.drop("type"), "eid")
     penalty = F.when(F.col("quality") == "low", F.lit(weights.low_quality_alias)).otherwise(0.0)
     rows = rows.withColumn("penalty", penalty).withColumn("least", F.least(F.greatest(F.col("floor") - F.col("penalty"), F.lit(0.0)), F.lit(100.0)) / 100)
     x, y = F.col("q_form"), F.col("form")
     rows = rows.withColumns({
-        "token_set": token_set(x, y), "token_sort": token_sort(x, y), "levenshtein": levenshtein_similarity(x, y),
+        "token_set": set_ratio(F.col("q_set"), F.col("set")), "token_sort": levenshtein_similarity(F.col("q_line"), F.col("line")), "levenshtein": levenshtein_similarity(x, y),
         "phonetic": agreement(F.col("q_tokens"), F.col("q_sounds"), F.col("tokens"), F.col("sounds")),
     })
 

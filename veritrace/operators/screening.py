@@ -47,13 +47,14 @@ def within_budget(queries: DataFrame, idf: DataFrame, budget: int) -> DataFrame:
     return walked.where((F.col("rn") == 1) | (F.col("cum") <= budget)).select("qid", "space", "feature", "df", "idf")
 
 
-def cosines(posted: DataFrame, idf: DataFrame, asked: DataFrame, budget: int) -> DataFrame:
-    """(qid, id, cosine) of all entries that share a walked feature with a query. asked: features of the queries."""
+def cosines(posted: DataFrame, idf: DataFrame, normed: DataFrame, asked: DataFrame, budget: int) -> DataFrame:
+    """(qid, id, cosine) of all entries that share a walked feature with a query. normed: norms of the entries; asked: features of the
+    queries."""
     walked = within_budget(asked, idf, budget)
     q_norm = walked.groupBy("qid").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("q_norm"))
     dots = walked.join(posted, ["space", "feature"]).groupBy("qid", "id").agg(F.sum(F.col("idf") * F.col("idf")).alias("dot"))
     cosine = F.least(F.lit(1.0), F.col("dot") / (F.col("norm") * F.col("q_norm")))
-    return dots.join(norms(posted, idf), "id").join(q_norm, "qid").select("qid", "id", cosine.alias("cosine"))
+    return dots.join(normed, "id").join(q_norm, "qid").select("qid", "id", cosine.alias("cosine"))
 
 
 def candidates(names: DataFrame, queries: DataFrame, *, budget: int = 5000, limit: int = 200) -> DataFrame:
@@ -61,7 +62,7 @@ def candidates(names: DataFrame, queries: DataFrame, *, budget: int = 5000, limi
     of one set of numbers in another order may."""
     posted = features(names)
     idf = frequencies(posted, names.where(F.col("name") != "").count())
-    pairs = cosines(posted, idf, features(queries), budget)
+    pairs = cosines(posted, idf, norms(posted, idf), features(queries), budget)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("cosine", 12)), "id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= limit).select("qid", "id", F.round("cosine", 6).alias("weight"))
 
@@ -90,6 +91,7 @@ class Index:
     entries: DataFrame
     posted: DataFrame
     idf: DataFrame
+    normed: DataFrame
 
     @classmethod
     def build(cls, entities: DataFrame, dictionary: Dictionary = DEFAULT) -> Index:
@@ -99,7 +101,8 @@ class Index:
         entries = names.withColumn("rn", F.row_number().over(first)).where(F.col("rn") == 1)
         entries = entries.select(F.xxhash64("eid", "form").alias("entry"), "eid", "source", F.col("id").alias("entity_id"), "position", "form", "tokens", "sounds").cache()
         posted = features(entries.select(F.col("entry").alias("id"), F.col("form").alias("name"), "sounds")).cache()
-        return cls(keyed, names, entries, posted, frequencies(posted, entries.count()).cache())
+        idf = frequencies(posted, entries.count()).cache()
+        return cls(keyed, names, entries, posted, idf, norms(posted, idf).cache())
 
     def stats(self) -> DataFrame:
         """(names, entities, token, trigram, phonetic, postings)"""
@@ -110,7 +113,7 @@ class Index:
     def candidates(self, queries: DataFrame, *, budget: int, limit: int) -> DataFrame:
         """(qid, eid): the entities of each prepared query's best entries. A query's sources bound what counts towards the limit."""
         asked = features(queries.select(F.col("qid").alias("id"), F.col("form").alias("name"), "sounds"))
-        pairs = cosines(self.posted, self.idf, asked, budget).withColumnRenamed("id", "entry")
+        pairs = cosines(self.posted, self.idf, self.normed, asked, budget).withColumnRenamed("id", "entry")
         pairs = pairs.join(self.entries.select("entry", "eid", "source", "entity_id", "position"), "entry").join(queries.select("qid", "sources"), "qid")
         pairs = pairs.where(F.col("sources").isNull() | F.array_contains("sources", F.col("source")))
         order = Window.partitionBy("qid").orderBy(F.desc(F.round("cosine", 12)), "source", "entity_id", "position")
@@ -145,7 +148,7 @@ class Matcher:
         ready = prepared_queries(queries, self.countries, self.dictionary).cache()
         pairs = self.index.candidates(ready, budget=self.settings.postings_budget, limit=self.settings.candidate_limit)
         pairs = pairs.join(ready.select("qid", F.col("threshold").alias("cutoff")), "qid")
-        found = scored(pairs, ready, self.index.names.select("eid", "type", "position", "value", "kind", "quality", "form", "tokens", "sounds"), self.evidence, weights)
+        found = scored(pairs, ready, self.index.names.drop("source", "id"), self.evidence, weights)
         who = self.index.entities.select("eid", "source", F.col("id").alias("entity_id"), "type", primary_name(F.col("names")).alias("primary_name"))
         found = found.join(who, "eid").join(ready.select("qid", "limit"), "qid")
         order = Window.partitionBy("qid").orderBy(F.desc("score"), "source", "entity_id")
