@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MADE, arrow_rows, named_apart, removed, row_key, text_of, words_of, written
@@ -41,7 +41,7 @@ from .mph import mix
 RANGES = 128
 PIVOTS = 6
 #: Rows of an Arrow batch while this runs: lists of hashes are wide.
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 #: Rows up to which a list of document keys is broadcast (24 bytes each); a longer one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -126,8 +126,8 @@ def drawn(docs: DataFrame, shingle: int, runs: int, branches: float) -> DataFram
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
+            for k in range(0, whole.num_rows, 128):
+                batch = whole.slice(k, 128)
                 tokens, sizes = token_sets(batch.column(2), shingle)
                 n = len(sizes)
                 name = mix(summed(mix(tokens, 21), sizes) ^ mix(sizes.astype(np.uint64), 22), 23).view(np.int64)
@@ -167,8 +167,8 @@ def children(docs: DataFrame, wanted: DataFrame, shingle: int, branches: float)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
+            for k in range(0, whole.num_rows, 128):
+                batch = whole.slice(k, 128)
                 tokens, sizes = token_sets(batch.column(0), shingle)
                 starts, n = parts_of_structs(batch.column(2))
                 ids, begin = batch.column(1).to_numpy(), np.cumsum(sizes) - sizes
@@ -477,8 +477,8 @@ def leaves_of(docs: DataFrame, sets: DataFrame, *, shingle: int, threshold: floa
 
 def merged(members: DataFrame) -> DataFrame:
     """Dense leaves (leaf, id); of members (leaf, id, n), a leaf whose members mostly share a larger one is joined with it."""
-    largest = members.groupBy("id").agg(F.max(F.struct("n", "leaf")).alias("x")).select("id", F.col("x.leaf").alias("first"))
-    tally = members.join(largest, "id").groupBy("leaf", "first").agg(F.count("*").alias("n"))
+    largest = F.max(F.struct("n", "leaf")).over(Window.partitionBy("id"))  # a set is in a few leaves
+    tally = members.withColumn("first", largest["leaf"]).groupBy("leaf", "first").agg(F.count("*").alias("n"))
     best = tally.groupBy("leaf").agg(F.max(F.struct("n", "first")).alias("b"), F.sum("n").alias("all"))
     to = best.select("leaf", F.when(2 * F.col("b.n") >= F.col("all"), F.col("b.first")).otherwise(F.col("leaf")).alias("to"))
     return members.join(to, "leaf").select(F.col("to").alias("leaf"), "id").distinct()
