@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, named_apart, text_of, words_of, written
+from .common import let, named_apart, text_of, words_of, written
 
 FOLDS = 5
 
@@ -35,23 +35,24 @@ def fold_of(doc_id: Column) -> Column:
 
 def statistics_of(text: Column) -> Column:
     n = F.greatest(F.length(text), F.lit(1))
+    # One pass takes out most of a text; the other characters are counted in what it leaves.
+    rest = F.regexp_replace(text, r"[\p{Ll}\p{Lo}\x20\x09-\x0D]+", "")
 
-    def share(chars: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, chars, ""))) / n
+    def on_rest(r: Column) -> Column:
+        def share(chars: str) -> Column:
+            return (F.length(r) - F.length(F.translate(r, chars, ""))) / n
 
-    def on_words(w: Column) -> list[Column]:
-        size = F.greatest(F.size(w), F.lit(1))
-        letters = F.length(F.translate(text, SPACE_CHARS, ""))
-        return [F.log1p(F.size(w).cast("double")), letters / size, F.size(F.array_distinct(w)) / F.sqrt(size), F.size(F.array_distinct(w)) / size]
+        upper = F.length(r) - F.length(F.regexp_replace(r, r"\p{Lu}+", ""))
+        return F.array(upper / n, share("0123456789"), share(".,;:?'\"()-"), share("!"), share("|"), share("#*$%&<>"), share("@/_=+~^{}[]\\"))
 
-    def on_lines(x: Column) -> list[Column]:
-        return [F.log1p(F.size(x).cast("double")), F.log1p(n / F.size(x)), F.size(F.array_distinct(x)) / F.size(x)]
+    def on_words(w: Column) -> Column:
+        size, distinct = F.greatest(F.size(w), F.lit(1)), F.size(F.array_distinct(w))
+        return F.array(F.log1p(F.size(w).cast("double")), F.length(F.array_join(w, "")) / size, distinct / F.sqrt(size), distinct / size)
 
-    upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))
-    values = [F.log1p(F.length(text).cast("double")), upper / n, share("0123456789"), share(".,;:?'\"()-"), share("!"), share("|"), share("#*$%&<>"), share("@/_=+~^{}[]\\")]
-    return F.concat(
-        F.array(*values), let(words_of(text), lambda w: F.array(*on_words(w))), let(F.split(text, "\n"), lambda x: F.array(*on_lines(x)))
-    )
+    def on_lines(x: Column) -> Column:
+        return F.array(F.log1p(F.size(x).cast("double")), F.log1p(n / F.size(x)), F.size(F.array_distinct(x)) / F.size(x))
+
+    return F.concat(F.array(F.log1p(F.length(text).cast("double"))), let(rest, on_rest), let(words_of(text), on_words), let(F.split(text, "\n"), on_lines))
 
 
 class Model:
