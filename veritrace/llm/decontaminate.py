@@ -37,7 +37,7 @@ def item_words(text: Column) -> Column:
 
 
 def _hash(words: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + k) for k in range(size)])
+    return F.xxhash64(F.lit(size), *[F.get(words, at + k) for k in range(size)])
 
 
 def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
@@ -49,19 +49,24 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def _hashed(words: Column, sizes: list[int]) -> Column:
-    """(size, position, hash) of every shingle of these sizes."""
-    empty = F.array().cast("array<struct<size:int,position:int,hash:bigint>>")
+    """The hashes of every shingle of these sizes, those of the first size first."""
+    empty = F.array().cast("array<bigint>")
 
     def places(size: int) -> Column:
-        each = F.transform(
-            F.sequence(F.lit(0), F.size(words) - size),
-            lambda i: F.struct(F.lit(size).alias("size"), i.alias("position"), _hash(words, i, size).alias("hash")),
-        )
-        return F.when(F.size(words) >= size, each).otherwise(empty)
+        return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: _hash(words, i, size))).otherwise(empty)
 
     return F.concat(*[places(s) for s in sizes]) if sizes else empty
 
 
+def _position(place: Column, n_words: Column, sizes: list[int]) -> Column:
+    """The word at which the shingle at a place of _hashed begins."""
+    out, before = place, F.lit(0)
+    for s in sizes[:-1]:
+        before = before + F.greatest(n_words - s + 1, F.lit(0))
+        out = F.when(place >= before, place - before).otherwise(out)
+    return out
+
+
 def shingles_of(windows: DataFrame, shingle: int) -> DataFrame:
     """(words, size, offset, hash): the shingles of each distinct window."""
     size = F.least(F.size("words"), F.lit(shingle)).cast("int")
@@ -74,11 +79,11 @@ def shingles_of(windows: DataFrame, shingle: int) -> DataFrame:
 
 def prefixes_of(docs: DataFrame, shingles: DataFrame, sizes: list[int], block: int) -> DataFrame:
     """(words, size, offset, hash): the rarest shingle of each window that can stand in a document."""
-    parts = written(shingles.select("size", "hash").distinct(), "decon-parts")
+    parts = written(shingles.select("hash").distinct(), "decon-parts")
     few = parts.count() <= block
-    spots = docs.select(F.explode(_hashed(F.col("w"), sizes)).alias("s")).select("s.size", "s.hash")
-    counts = spots.join(F.broadcast(parts) if few else parts, ["size", "hash"]).groupBy("size", "hash").agg(F.count("*").alias("n"))
-    ordered = shingles.join(written(counts, "decon-counts"), ["size", "hash"], "left")
+    spots = docs.select(F.explode(_hashed(F.col("w"), sizes)).alias("hash"))
+    counts = spots.join(F.broadcast(parts) if few else parts, "hash").groupBy("hash").agg(F.count("*").alias("n"))
+    ordered = shingles.join(written(counts, "decon-counts"), "hash", "left")
     rarest = ordered.groupBy("words", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "hash")).alias("r"))
     return rarest.where(F.col("r.n") > 0).select("words", "size", "r.offset", "r.hash")
 
@@ -93,14 +98,16 @@ def found_at(rows: DataFrame, prefixes: DataFrame, sizes: list[int], block: int)
     if prefixes.count() <= block:
         # A mark of each document rides along, so that one scan gives both.
         marks = spark.range(1).select(F.lit(None).cast("array<string>").alias("words"), F.lit(0).alias("size"), F.lit(0).alias("offset"), F.lit(0).cast("long").alias("hash"))
-        mark = F.array(F.struct(F.lit(0).alias("size"), F.lit(-1).alias("position"), F.lit(0).cast("long").alias("hash")))
-        spots = counted.select("*", F.inline(F.concat(mark, _hashed(w, sizes))))
-        met = spots.join(F.broadcast(prefixes.unionByName(marks)), ["size", "hash"]).withColumn("start", start)
-        met = met.where((F.col("position") < 0) | bounds & verified).select("doc_id", "row_key", "n_words", "start", "words")
+        spots = counted.select("*", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), _hashed(w, sizes))).alias("place", "hash"))
+        spots = spots.withColumn("place", F.col("place") - 1)
+        met = spots.join(F.broadcast(prefixes.unionByName(marks)), "hash").where((F.col("place") < 0) == F.col("words").isNull())
+        met = met.withColumn("position", _position(F.col("place"), F.col("n_words"), sizes)).withColumn("start", start)
+        met = met.where((F.col("place") < 0) | bounds & verified).select("doc_id", "row_key", "n_words", "start", "words")
         met = written(met, "decon-found")
         return met.where(F.col("words").isNull()).select("doc_id", "row_key", "n_words"), met.where(F.col("words").isNotNull()).drop("n_words").distinct()
-    spots = counted.select("doc_id", "row_key", "n_words", F.inline(_hashed(w, sizes)))
-    near = spots.join(prefixes, ["size", "hash"]).where(bounds).select(F.col("doc_id").alias("c_id"), F.col("row_key").alias("c_key"), start.alias("start"), "words").distinct()
+    spots = counted.select("doc_id", "row_key", "n_words", F.posexplode(_hashed(w, sizes)).alias("place", "hash"))
+    spots = spots.withColumn("position", _position(F.col("place"), F.col("n_words"), sizes))
+    near = spots.join(prefixes, "hash").where(bounds).select(F.col("doc_id").alias("c_id"), F.col("row_key").alias("c_key"), start.alias("start"), "words").distinct()
     same = F.col("c_id").eqNullSafe(F.col("doc_id")) & (F.col("c_key") == F.col("row_key"))
     met = counted.join(near, same).where(verified).select("doc_id", "row_key", "start", "words").distinct()
     return counted.drop("w"), written(met, "decon-found")
