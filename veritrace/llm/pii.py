@@ -74,14 +74,15 @@ def passes(kind: str, value: Column) -> Column:
 
 
 def cues_of(before: Column, after: Column) -> Column:
-    """The patterns around a run: "1 word", "2 word word" and "> word"; signs and an open quote or bracket belong to the first two."""
+    """The patterns around a run: "1 word", "2 word word" and "> word", each with the signs and the quote or bracket between."""
     tail = F.lower(before.substr(F.greatest(F.length(before) - 60, F.lit(0)) + 1, F.lit(61)))  # only the tail is context
     head = F.lower(after.substr(F.lit(1), F.lit(40)))
-    words = {"1 ": (tail, rf"(\p{{L}}+)({SIGNS})\s*$"), "2 ": (tail, rf"(\p{{L}}+[:=,]?[\x20\t]+\p{{L}}+)({SIGNS})\s*$"), "> ": (head, r"^[\"')\]>}]?\s+(\p{L}+)()")}
+    words = {"1 ": (tail, rf"(\p{{L}}+)({SIGNS})\s*$"), "2 ": (tail, rf"(\p{{L}}+[:=,]?[\x20\t]+\p{{L}}+)({SIGNS})\s*$"), "> ": (head, r"^([\"')\]>}]?)\s+(\p{L}+)")}
 
     def cue(kind: str, t: Column, pattern: str) -> Column:
-        signs = F.regexp_replace(F.regexp_extract(t, pattern, 2), r"\s+", "")
-        return let(F.regexp_replace(F.regexp_extract(t, pattern, 1), r"\s+", " "), lambda x: F.when(x != "", F.concat(F.lit(kind), x, signs)))
+        word, signs = (2, 1) if kind == "> " else (1, 2)
+        marks = F.regexp_replace(F.regexp_extract(t, pattern, signs), r"\s+", "")
+        return let(F.regexp_replace(F.regexp_extract(t, pattern, word), r"\s+", " "), lambda x: F.when(x != "", F.concat(F.lit(kind), x, marks)))
 
     return F.array_compact(F.array(*[cue(k, t, p) for k, (t, p) in words.items()]))
 
@@ -106,8 +107,9 @@ def running(values: Column, chunk: int = 1024) -> Column:
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / chunk).cast("int")), lambda c: sums(F.slice(values, c * chunk + 1, F.lit(chunk))))
 
     def joined(p: Column) -> Column:
-        ends = sums(F.transform(p, lambda x: F.element_at(x, -1)))
-        return F.flatten(F.transform(p, lambda x, i: F.transform(x, lambda v: v + F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(ends, i - 1)))))
+        before = lambda ends, i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(ends, i - 1))
+        moved = lambda ends: F.transform(p, lambda x, i: let(before(ends, i), lambda n: F.transform(x, lambda v: v + n)))
+        return F.flatten(let(sums(F.transform(p, lambda x: F.element_at(x, -1))), moved))
 
     return let(parts, joined)
 
