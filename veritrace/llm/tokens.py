@@ -37,7 +37,7 @@ from .mph import PerfectHash, mix
 MANIFEST = "shard int, part int, path string, n_docs long, n_tokens long, width int"
 FEW = 256  # texts encoded at once
 MOST_WORDS, LONG_WORD = 1_500_000, 64  # words whose ids a worker holds, and the length of the longest
-PROBED = 512  # by_word: one text in so many is encoded whole too, and must give the same ids
+PROBED = 2048  # by_word: one text in so many is encoded whole too, and must give the same ids
 UNLIKE = "this tokenizer does not drop blanks"
 
 
