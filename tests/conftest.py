@@ -10,4 +10,4 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 @pytest.fixture(scope="session")
 def spark():
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "3g"}
-    return SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    return SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
